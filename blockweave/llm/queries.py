@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, packing, quality, simhash, topk, toxicity, urls
+from . import licenses, mixing, packing, quality, secrets, simhash, topk, toxicity, urls
 from .common import table
 
 #: The file of the tokenizer, a parameter: it is never copied into the repository.
@@ -19,6 +19,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -54,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_url_filter, op3_toxicity, op4_source_mix, op5_simhash, op7_license_scan, op8_topk, op9_quality, op10_packing,
+    op1_secret_scan, op2_url_filter, op3_toxicity, op4_source_mix, op5_simhash, op7_license_scan, op8_topk, op9_quality, op10_packing,
 )}
 
 ORACLES: dict[str, str] = {"op2_url_filter": urls.sql(), "op4_source_mix": mixing.sql(), "op7_license_scan": licenses.sql(), "op8_topk": topk.sql()}
