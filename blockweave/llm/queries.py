@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, packing, quality, secrets, simhash, topk, toxicity, urls
+from . import embeddings, licenses, mixing, packing, quality, secrets, simhash, topk, toxicity, urls
 from .common import table
 
 #: The file of the tokenizer, a parameter: it is never copied into the repository.
@@ -40,6 +40,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_secret_scan, op2_url_filter, op3_toxicity, op4_source_mix, op5_simhash, op7_license_scan, op8_topk, op9_quality, op10_packing,
+    op1_secret_scan, op2_url_filter, op3_toxicity, op4_source_mix, op5_simhash, op6_embedding_links, op7_license_scan, op8_topk, op9_quality, op10_packing,
 )}
 
 ORACLES: dict[str, str] = {"op2_url_filter": urls.sql(), "op4_source_mix": mixing.sql(), "op7_license_scan": licenses.sql(), "op8_topk": topk.sql()}
