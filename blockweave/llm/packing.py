@@ -41,16 +41,19 @@ class TextTokenizer:
     def __init__(self, path: str, remember: int = 700_000, longest: int = 40) -> None:
         if path not in _tokenizers:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
             tok = Tokenizer.from_file(path)
             vocab = tok.get_vocab()
             ends = np.zeros(max(vocab.values()) + 1, bool)
             ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-            _tokenizers[path], _memo[path] = (tok, ends), ({}, {})
-        (self.tok, self.ends), (self.memo, self.words) = _tokenizers[path], _memo[path]
+            # for words that are normalised and cut already: the same merges without those steps
+            plain = Tokenizer.from_file(path)
+            plain.normalizer = normalizers.Sequence([])
+            plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            _tokenizers[path], _memo[path] = (tok, plain, ends), ({}, {})
+        (self.tok, self.merges, self.ends), (self.memo, self.words) = _tokenizers[path], _memo[path]
         self.remember, self.longest = remember, longest
-        self._table = str.maketrans({c: " " for c in _SPACE})
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -59,7 +62,7 @@ class TextTokenizer:
         """Words of letters only go as one text: each is one word of the tokenizer, and its last id ends a word."""
         letters = [w for w in words if w.isalpha()]
         if letters:
-            ids = np.array(self.tok.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.merges.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stops) != len(letters):  # another kind of tokenizer
                 self.words.update(zip(letters, self._encode(letters)))
@@ -85,7 +88,9 @@ class TextTokenizer:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        chunks, memo = text.translate(self._table).split(" "), self.memo
+        for c in _SPACE[1:]:
+            text = text.replace(c, " ")
+        chunks, memo = text.split(" "), self.memo
         try:
             return b"".join(map(memo.__getitem__, chunks))
         except KeyError:
