@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Expected copies are whole multiples of 1/2**26: sums are exact, in any order and engine, to 4e10 documents a source.
 ONE = 1 << 26
 #: Hash parts of a size class: a third of all rows in one source still falls into hundreds of cells.
@@ -62,18 +64,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3, s
     as often as they occur (which of two equal rows is taken is the same result); no rows give no rows.
     """
     source = F.col("source").cast("string")
-    base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"),
-        F.coalesce(F.concat(F.lit("s"), source), F.lit("-")).alias("group"),
-        word_count(F.col("text").cast("string")).alias("size"), *[F.struct(*carry).alias("_carry")] * bool(carry),
-    )
     digits = F.col("size").cast("string")
     klass = F.length(digits) * 10 + F.substring(digits, 1, 1).cast("int")
     spread = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int") % SPREAD
-    base = base.withColumn("cell", klass * SPREAD + spread)
-    targets = source_targets(base.select("source", "size"), weights, limit)
+
+    def sized(*more):
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), word_count(F.col("text").cast("string")).alias("size"), *more)
+        return own.withColumn("group", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))).withColumn("cell", klass * SPREAD + spread)
+
+    # texts are counted once; what follows reads a few numbers for each document
+    slim = Scratch(docs.sparkSession, "mix").write(sized())
+    base = sized(F.struct(*carry).alias("_carry")) if carry else slim
+    targets = source_targets(slim.select("source", "size"), weights, limit)
     targets = targets.withColumn("group", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))).drop("source")
-    cells = base.groupBy("group", "cell").agg(F.count("*").alias("n"))
+    cells = slim.groupBy("group", "cell").agg(F.count("*").alias("n"))
     cells = cells.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("cells"))
     step = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * ONE)).otherwise(F.lit(0)).cast("long")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "group").cast("binary")), 1, 6), 16, 10).cast("long") * (ONE >> 24)
