@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 #: Long runs of key characters with a digit, and shorter values right after a telling name.
 CANDIDATE = (
     r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
-    r"|(?<=(?i:passw(?:or)?d|pwd|secret|token|key)[\"']{0,1}[ ]{0,1}[=:]{1,2}[ ]{0,1}[\"']{0,1})(?![ \"'])[^\s\"',;<>]{8,}+"
+    r"|(?:(?<=[=:\"'])|(?<=[=:] ))(?<=(?i:passw(?:or)?d|pwd|secret|token|key)[\"']{0,1}[ ]{0,1}[=:]{1,2}[ ]{0,1}[\"']{0,1})(?![ \"'])[^\s\"',;<>]{8,}+"
 )
+#: A text without a digit, "=" or ":" holds no candidate; finding that out costs a fraction of the search.
+POSSIBLE = "[0-9=:]"
 #: English words of four letters and more whose cover speaks against chance.
 DICTIONARY = tuple(
     "about account address after again amount application array article background bank base before begin block body book border bottom button call card case center change channel character check child class click client close code color column comment common component config connect console content context control copy count country create current customer data date debug default delete describe description design detail device dialog different direct display document domain down download drop edit element email enable encode error event example export field file filter find first fixed font footer form format from function general generate global group handler hash head header height help hidden history home host html http icon image import index info initial inner input insert instance integer internal item john language large last layout left length level library license light line link list load local lock login logo long look loop main make manager margin master match menu message method mode model module month more move name native network next node none normal note null number object offset only open option order other output package page panel param parent part password path people percent phone photo picture place point popup position post prefix preview price primary print process product profile project property public query random range read record reference register release remove render replace report request require reset resource response result return right role root round rule sample save scale schema scope screen script scroll search section select self send serial server service session setting share shell show side sign simple single site size slide small sort source space split stack start state static status step stop store stream string style submit success support switch system table target task team template test text thank their theme then there thing this time title today toggle token tool track type unit update upload user util valid value variable version video view visible want when where which white width window with word work world write year your zone".split()
@@ -165,7 +167,7 @@ def _found(docs: DataFrame, forest: list[Tree], threshold: float, keep: list[str
     first = f"(contains({t}, '{MARKS[0][0]}') or contains({t}, '{MARKS[0][1]}'))"
     rows = docs.selectExpr(*keep, f"if({first}, translate({t}, '{''.join(MARKS[1])}', '  '), {t}) as _t", f"{first} as _other", "coalesce(cast(source as string), '') as _p")
     q = CANDIDATE.replace("\\", "\\\\").replace("'", "\\'")
-    parts = " ".join(f"when _other = {str(k == 1).lower()} then split(regexp_replace(_t, '({q})', '{a}$1{b}'), '{a}')" for k, (a, b) in enumerate(MARKS))
+    parts = " ".join(f"when _other = {str(k == 1).lower()} then if(_t rlike '{POSSIBLE}', split(regexp_replace(_t, '({q})', '{a}$1{b}'), '{a}'), array(_t))" for k, (a, b) in enumerate(MARKS))
     rows = rows.selectExpr(*keep, "_p", f"if(_other, '{MARKS[1][1]}', '{MARKS[0][1]}') as _end", f"case {parts} end as _parts")
     cut = "transform(slice(_parts, 2, greatest(0, size(_parts) - 1)), s -> named_struct('v', substring_index(s, _end, 1), 'rest', substring(s, length(substring_index(s, _end, 1)) + 2)))"
     rows = rows.selectExpr(*keep, "_p", "_parts[0] as lead", f"{cut} as _cut")
