@@ -12,6 +12,8 @@ from .common import Scratch
 
 #: Scores of sums below this are exact in double precision.
 EXACT = float(1 << 52)
+#: Scores of vectors up to this length fit 64 bits.
+LONGEST = float(1 << 31)
 
 
 def whole_numbers(v: list | None, scale: int = 64) -> np.ndarray | None:
@@ -19,7 +21,7 @@ def whole_numbers(v: list | None, scale: int = 64) -> np.ndarray | None:
     if v is None or any(x is None for x in v):
         return None
     x = np.floor(scale * np.array(v, np.float64))
-    return x.astype(np.int64) if np.isfinite(x).all() and (np.abs(x) < 2.0**62).all() else None
+    return x.astype(np.int64) if np.isfinite(x).all() and float(np.sqrt((x * x).sum())) < LONGEST else None
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -113,7 +115,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, query_blo
     remainders bound the rest; survivors get exact integer products. Ties at the bound are kept. Strips' results,
     ``k`` for each query, are ranked together. Memory is two blocks for each task.
 
-    Vectors that are null or hold null or non-finite components take no part. Vectors of different lengths meet on
+    Vectors that are null, hold null or non-finite components, or are too long for scores of 64 bits (2**31 after
+    scaling) take no part. Vectors of different lengths meet on
     their common components. Rows that share a query's vec_id are its own; a repeated query id searches with its
     smallest vector; repeated rows are candidates each. Null ids take no part; no rows give no rows.
     """
