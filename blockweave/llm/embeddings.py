@@ -38,6 +38,16 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarr
     return c
 
 
+def apart(c: np.ndarray, most: float) -> np.ndarray:
+    """Centres without those whose cosine with an earlier one is above ``most``: a crowd of near copies draws many
+    centres, and cut up between them it would lose links."""
+    keep: list[int] = []
+    for i in range(len(c)):
+        if not keep or float((c[keep] @ c[i]).max()) <= most:
+            keep.append(i)
+    return c[keep]
+
+
 def robust_prune(x: np.ndarray, node: np.ndarray, pool: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Out-links of each node from its candidate pool, nearest first: a candidate goes when a chosen one is
     ``alpha`` times nearer to it than the node is. Rows are padded with -1."""
@@ -138,10 +148,9 @@ def range_search(x: np.ndarray, links: np.ndarray, least: float, beam: int = 24,
             out = links[b].ravel()
             qa, to = np.concatenate([np.repeat(a, links.shape[1]), np.repeat(a, size)]), np.concatenate([out, into])
             ok = to >= 0
-            key = np.unique(qa[ok] * n + to[ok])
-            qa, to = key // n, key % n
-            new = ~inside[qa, to] & ~tried[qa, to]
-            qa, to = qa[new], to[new]
+            reach = np.zeros((m, n), bool)
+            reach[qa[ok], to[ok]] = True
+            qa, to = np.nonzero(reach & ~inside & ~tried)
             tried[qa, to] = True
             near = np.einsum("nd,nd->n", x[q[qa]], x[to]) >= least - 1e-6
             a, b = qa[near], to[near]
@@ -218,7 +227,7 @@ def links(nodes: DataFrame, scratch: Scratch, least: float, overlap: int, shard:
     k = int(max(1, min(most_shards, len(some) // 4, -(-count * overlap // shard))))
     width = some.shape[1]
     c = centroids(some, k) if len(some) else np.zeros((1, width))
-    c = np.unique(c, axis=0)
+    c = apart(c, 2 * least * least - 1)
     o = min(overlap, len(c))
 
     def assign(batches):
