@@ -112,6 +112,15 @@ def decode(chunk: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def encode_block(block: np.ndarray) -> bytes:
+    """A chunk of one block's 64 single-precision values as they lie in memory."""
+    return encode(np.asarray(block, "<f4").reshape(64).tobytes())
+
+
+def decode_block(chunk: bytes) -> np.ndarray:
+    return np.frombuffer(decode(chunk, 256), "<f4").copy()
+
+
 @F.arrow_udf(T.BinaryType())
 def huffman_encode(data: pa.Array) -> pa.Array:
     return pa.array([None if d is None or not len(d) else encode(d) for d in data.to_pylist()], pa.binary())

@@ -173,6 +173,23 @@ def decode(data: bytes) -> np.ndarray:
     raise ImageError("not a PNG, BMP or PNM file")
 
 
+# The weights, of 256, by which colours become gray.
+GRAY = (77, 150, 29)
+
+
+def with_channels(pixels: np.ndarray, channels: int) -> np.ndarray:
+    """The image with 1 (gray), 2 (gray, alpha), 3 (RGB) or 4 (RGB, alpha) channels; alpha is 255 where there was none."""
+    have = pixels.shape[2]
+    if not 1 <= channels <= 4 or not 1 <= have <= 4:
+        raise ImageError(f"{have} to {channels} channels")
+    colour, alpha = (pixels[:, :, :-1], pixels[:, :, -1:]) if have in (2, 4) else (pixels, np.full_like(pixels[:, :, :1], 255))
+    if channels < 3 and colour.shape[2] == 3:
+        colour = (colour.astype(np.int64) @ np.array(GRAY) >> 8).astype(np.uint8)[:, :, None]
+    elif channels > 2 and colour.shape[2] == 1:
+        colour = colour.repeat(3, axis=2)
+    return np.concatenate([colour, alpha], axis=2) if channels in (2, 4) else colour
+
+
 def encode_png(pixels: np.ndarray, level: int = 1) -> bytes:
     """8-bit PNG of 1 to 4 channels, rows unfiltered."""
     height, width, channels = pixels.shape

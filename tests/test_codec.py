@@ -104,3 +104,33 @@ def test_folders(spark, tmp_path):
     (folder / "x.png").write_bytes(images.encode_png(np.zeros((3, 2, 3), np.uint8)))
     with pytest.raises(Exception, match="first frame"):
         images.read_frames(spark, str(folder)).collect()
+
+
+def test_channels():
+    rgb = np.array([[[10, 20, 30]]], np.uint8)
+    assert images.with_channels(rgb, 1).ravel().tolist() == [(77 * 10 + 150 * 20 + 29 * 30) >> 8]
+    assert images.with_channels(rgb, 4).ravel().tolist() == [10, 20, 30, 255]
+    assert images.with_channels(np.array([[[9, 8]]], np.uint8), 3).ravel().tolist() == [9, 9, 9]
+    assert images.with_channels(np.array([[[9, 8]]], np.uint8), 4).ravel().tolist() == [9, 9, 9, 8]
+    with pytest.raises(images.ImageError):
+        images.with_channels(rgb, 5)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from blockweave.__main__ import main, parser
+
+    for bad in (["compress", "a", "b", "-q", "0"], ["compress", "a", "b", "-q", "x"], ["other"], []):
+        with pytest.raises(SystemExit):
+            parser().parse_args(bad)
+    a = parser().parse_args(["compress", "a", "b", "--no-ycbcr"])
+    assert (a.quality, a.ycbcr) == (50, False)
+    (tmp_path / "in").mkdir()
+    for i in (2, 10):
+        (tmp_path / "in" / f"f{i}.png").write_bytes(images.encode_png(clip(1, 8, 8, 3, i)[0]))
+    assert main(["manifest", str(tmp_path / "in")]) == 0
+    assert [x.split("/")[-1] for x in capsys.readouterr().out.split("\n") if x] == ["f2.png", "f10.png"]
+    assert main(["compress", str(tmp_path / "in"), str(tmp_path / "c.bin"), "-q", "75", "--order", "numeric"]) == 0
+    assert main(["decompress", str(tmp_path / "c.bin"), str(tmp_path / "out")]) == 0
+    assert len(list((tmp_path / "out").iterdir())) == 2
+    (tmp_path / "bad.bin").write_bytes(b"no")
+    assert main(["decompress", str(tmp_path / "bad.bin"), str(tmp_path / "out")]) == 1

@@ -54,6 +54,11 @@ def test_any_bytes_come_back(data):
     assert entropy.decode(entropy.encode(data), len(data)) == data
 
 
+def test_raw_blocks_come_back():
+    block = np.linspace(-3, 900, 64, dtype=np.float32)
+    assert (entropy.decode_block(entropy.encode_block(block)) == block).all()
+
+
 def test_tree_order_by_hand():
     counts = np.zeros(256, np.uint16)
     counts[[1, 2, 3, 4]] = [5, 5, 3, 4]
