@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .components import connected_components
+from .learning import first_by_hash
 
 
 def unit(v: list | None) -> np.ndarray | None:
@@ -223,7 +224,7 @@ def _search_shard(least: float, beam: int):
 def links(nodes: DataFrame, scratch: Scratch, least: float, overlap: int, shard: int, most_shards: int, sample: int, beam: int) -> DataFrame:
     """``(node, n, root)``, a row for each node and shard: links owned by the shard, and the shard's smallest joined node."""
     count = nodes.count()
-    some = _matrix(pa.chunked_array([pa.array([r.x for r in nodes.select("x", "node").orderBy(F.xxhash64("node"), "node").limit(sample).collect()], pa.binary())]))
+    some = _matrix(pa.chunked_array([pa.array([r.x for r in first_by_hash(nodes.select("x", "node"), "node", sample, count).collect()], pa.binary())]))
     k = int(max(1, min(most_shards, len(some) // 4, -(-count * overlap // shard))))
     width = some.shape[1]
     c = centroids(some, k) if len(some) else np.zeros((1, width))
@@ -248,7 +249,7 @@ def links(nodes: DataFrame, scratch: Scratch, least: float, overlap: int, shard:
 
 def recall(nodes: DataFrame, counted: DataFrame, least: float, audit: int) -> float:
     """Share of the links of ``audit`` nodes (the first by a hash), counted by brute force, that were found."""
-    some = nodes.join(counted, "node").select("node", "x", "n").orderBy(F.xxhash64("node", F.lit(9)), "node").limit(audit).collect()
+    some = first_by_hash(nodes.join(counted, "node").select("node", "x", "n"), "node", audit, counted.count(), 9).collect()
     if not some:
         return 1.0
     q, ids = _matrix(pa.chunked_array([pa.array([r.x for r in some], pa.binary())])), np.array([r.node for r in some])

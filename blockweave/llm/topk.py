@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .learning import first_by_hash
 
 #: Scores of sums below this are exact in double precision.
 EXACT = float(1 << 52)
@@ -134,7 +135,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, query_blo
     queries = scratch.write(rows.where(is_query).groupBy("vec_id").agg(F.min("norm").alias("norm"), F.min("v").alias("v")).select("vec_id", F.col("norm"), "v"))
     n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.length("v")), F.lit(0))).first()
     m, width = queries.count(), width // 8
-    some = [np.frombuffer(r.v, "<i8") for r in rows.select("v", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
+    some = [np.frombuffer(r.v, "<i8") for r in first_by_hash(rows.select("v", "vec_id"), "vec_id", sample, n).collect()]
     x = np.zeros((max(1, len(some)), width))
     for i, v in enumerate(some):
         x[i, : len(v)] = v
