@@ -19,14 +19,19 @@ BUCKETS = 1 << 20
 
 
 def word_ids(text: str | None) -> list[int]:
-    """Hashes of the distinct words of a whole text, sorted."""
+    """Hashes, sorted, of the distinct words of a whole text and of the four and five bytes that longer words begin
+    with: a stem tells of its inflections and compounds, seen or not."""
     crc = zlib.crc32
-    return sorted({crc(w) % BUCKETS for w in set((text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split())})
+    words = set((text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split())
+    ids = {crc(w) % BUCKETS for w in words}
+    ids |= {crc(b"4:" + w) % BUCKETS for w in {w[:4] for w in words if len(w) > 4}}
+    ids |= {crc(b"5:" + w) % BUCKETS for w in {w[:5] for w in words if len(w) > 5}}
+    return sorted(ids)
 
 
 @dataclass
 class Model:
-    """A linear score over the presence of words: log-odds = bias + the sum of the present words' weights."""
+    """A linear score over the presence of words and stems: log-odds = bias + the sum of the present words' weights."""
 
     bias: float
     weights: dict[int, float] = field(default_factory=dict)
@@ -37,34 +42,44 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -35.0), 35.0))))
 
 
-def _distinct(rows: list[list[int]], hashes: int = 2) -> list[list[int]]:
-    """One row for each min-hash pair of the word sets, so that copies of one document don't vote as many."""
-    a = np.random.default_rng(5).integers(1, 2**31, (hashes, 2))
-    seen: dict[tuple, list[int]] = {}
+def _distinct(rows: list[list[int]], common: np.ndarray, bands: int = 5, width: int = 3) -> list[list[int]]:
+    """Rows without those that share a band of min-hashes of their uncommon words with an earlier row: copies of
+    one document would teach its words, as many times as there are copies."""
+    a = np.random.default_rng(5).integers(1, 2**31, (bands * width, 2))
+    seen: set[tuple] = set()
+    out = []
     for r in rows:
-        x = np.array(r or [0], np.int64)
-        seen.setdefault(tuple(int(((p * x + q) % 2147483647).min()) for p, q in a), r)
-    return list(seen.values())
+        x = np.array(r, np.int64)
+        x = x[~common[x]] if len(x) else x
+        if not len(x):
+            x = np.array(r or [0], np.int64)
+        low = ((a[:, :1] * x + a[:, 1:]) % 2147483647).min(axis=1).reshape(bands, width)
+        keys = {(i, *map(int, h)) for i, h in enumerate(low)}
+        if not keys & seen:
+            out.append(r)
+        seen |= keys
+    return out
 
 
 def train_nnpu(positive: list[list[int]], unlabelled: list[list[int]], prior: float, columns: int = 400, epochs: int = 200, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """Minimise  prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)])  + decay * |w|^2,  l the logistic loss.
 
-    Columns are the words whose share among positives stands out most from the unlabelled (a z-score, at least
-    three positives). Adam over the full bounded sample. Where the corrected negative risk falls below zero the
+    Columns are the words whose share among positives stands out most from the unlabelled, by a likelihood ratio
+    that chance hardly gives to any of a million words. Adam over the full bounded sample. Where the corrected negative risk falls below zero the
     step goes against its gradient, as the non-negative estimator asks. No positives: a constant score.
     """
     prior = min(max(prior, 1e-4), 0.9)
-    positive = _distinct(positive)
     if not positive or not unlabelled:
         return Model(float(np.log(prior / (1 - prior))) if positive or unlabelled else -35.0)
+    count = lambda rows: np.bincount(np.concatenate([np.array(r, np.int64) for r in rows]), minlength=BUCKETS)
+    positive = _distinct(positive, count(unlabelled) > 0.02 * len(unlabelled))
     n_p, n_u = len(positive), len(unlabelled)
-    in_p, in_u = (np.bincount(np.concatenate([np.array(r, np.int64) for r in rows]), minlength=BUCKETS) for rows in (positive, unlabelled))
-    share = (in_p + in_u) / (n_p + n_u)
-    z = (in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
-    z[in_p < min(3, n_p)] = 0
-    chosen = np.argsort(-z, kind="stable")[:columns]
-    chosen = chosen[z[chosen] > 2.5]
+    in_p, in_u = count(positive), count(unlabelled)
+    e = (in_p + in_u) * (n_p / (n_p + n_u))
+    ratio = 2 * (in_p * np.log(np.maximum(in_p, 1) / np.maximum(e, 1e-9)) + in_u * np.log(np.maximum(in_u, 1) / np.maximum(in_p + in_u - e, 1e-9)))
+    ratio[in_p <= e] = 0
+    chosen = np.argsort(-ratio, kind="stable")[:columns]
+    chosen = chosen[ratio[chosen] > 25]
     place = {int(c): i for i, c in enumerate(chosen)}
 
     def dense(rows: list[list[int]]) -> np.ndarray:
