@@ -50,3 +50,12 @@ def sample_features(docs: DataFrame, ids: DataFrame, features: Callable[[str | N
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
     rows = rows.select("doc_id", "kind", "text").mapInArrow(run, "doc_id long, kind int, x array<bigint>")
     return rows.groupBy("doc_id", "kind").agg(F.min("x").alias("x")).orderBy("doc_id", "kind").toArrow()
+
+
+def arrays(column: pa.ChunkedArray) -> list:
+    """A column of lists as numpy arrays that share one buffer; no number becomes an object."""
+    out = []
+    for chunk in column.chunks:
+        flat, at = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        out += [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .learning import by_hash, fold, sample_features
+from .learning import arrays, by_hash, fold, sample_features
 
 #: A-Z to a-z, ASCII that is no letter or digit to a space; bytes of other characters stay.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b > 127 else 32 for b in range(256))
@@ -52,7 +52,7 @@ def _distinct(rows: list[list[int]], common: np.ndarray, bands: int = 5, width:
         x = np.array(r, np.int64)
         x = x[~common[x]] if len(x) else x
         if not len(x):
-            x = np.array(r or [0], np.int64)
+            x = np.append(np.array(r, np.int64), 0)
         low = ((a[:, :1] * x + a[:, 1:]) % 2147483647).min(axis=1).reshape(bands, width)
         keys = {(i, *map(int, h)) for i, h in enumerate(low)}
         if not keys & seen:
@@ -61,7 +61,15 @@ def _distinct(rows: list[list[int]], common: np.ndarray, bands: int = 5, width:
     return out
 
 
-def train_nnpu(positive: list[list[int]], unlabelled: list[list[int]], prior: float, columns: int = 400, epochs: int = 200, rate: float = 0.1, decay: float = 1e-4) -> Model:
+def _tally(rows: list) -> np.ndarray:
+    """In how many rows each word is."""
+    n = np.zeros(BUCKETS, np.int64)
+    for r in rows:
+        n[np.asarray(r, np.int64)] += 1
+    return n
+
+
+def train_nnpu(positive: list, unlabelled: list, prior: float, columns: int = 400, epochs: int = 200, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """Minimise  prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)])  + decay * |w|^2,  l the logistic loss.
 
     Columns are the words whose share among positives stands out most from the unlabelled, by a likelihood ratio
@@ -71,22 +79,23 @@ def train_nnpu(positive: list[list[int]], unlabelled: list[list[int]], prior: fl
     prior = min(max(prior, 1e-4), 0.9)
     if not positive or not unlabelled:
         return Model(float(np.log(prior / (1 - prior))) if positive or unlabelled else -35.0)
-    count = lambda rows: np.bincount(np.concatenate([np.array(r, np.int64) for r in rows]), minlength=BUCKETS)
-    positive = _distinct(positive, count(unlabelled) > 0.02 * len(unlabelled))
+    positive = _distinct(positive, _tally(unlabelled) > 0.02 * len(unlabelled))
     n_p, n_u = len(positive), len(unlabelled)
-    in_p, in_u = count(positive), count(unlabelled)
+    in_p, in_u = _tally(positive), _tally(unlabelled)
     e = (in_p + in_u) * (n_p / (n_p + n_u))
     ratio = 2 * (in_p * np.log(np.maximum(in_p, 1) / np.maximum(e, 1e-9)) + in_u * np.log(np.maximum(in_u, 1) / np.maximum(in_p + in_u - e, 1e-9)))
     ratio[in_p <= e] = 0
     chosen = np.argsort(-ratio, kind="stable")[:columns]
     chosen = chosen[ratio[chosen] > 25]
-    place = {int(c): i for i, c in enumerate(chosen)}
+    place = np.full(BUCKETS, -1, np.int64)
+    place[chosen] = np.arange(len(chosen))
 
     def dense(rows: list[list[int]]) -> np.ndarray:
         x = np.zeros((len(rows), len(chosen) + 1), np.float32)
         x[:, -1] = 1
         for i, r in enumerate(rows):
-            x[i, [place[c] for c in r if c in place]] = 1
+            at = place[np.asarray(r, np.int64)]
+            x[i, at[at >= 0]] = 1
         return x
 
     p, u = dense(positive), dense(unlabelled)
@@ -108,7 +117,7 @@ def train_nnpu(positive: list[list[int]], unlabelled: list[list[int]], prior: fl
     return Model(float(w[-1]), {int(c): float(x) for c, x in zip(chosen, w[:-1])})
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int = 6000, most_unlabelled: int = 12000, prior: float | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int = 4000, most_unlabelled: int = 10000, prior: float | None = None) -> Model:
     """A model of ``labels(doc_id, toxic)`` and the texts of ``docs``, from rows outside fold 0 only.
 
     At most ``most_positive`` confirmed toxic documents and ``most_unlabelled`` documents without regard to labels
@@ -124,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int =
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     u = by_hash(ids.where(fold(F.col("doc_id"), folds) != 0), most_unlabelled).withColumn("kind", F.lit(0))
     t = sample_features(docs, p.unionByName(u), word_ids, scratch)
-    kind, x = t.column("kind").to_pylist(), t.column("x").to_pylist()
+    kind, x = t.column("kind").to_pylist(), arrays(t.column("x"))
     return train_nnpu([r for k, r in zip(kind, x) if k == 1], [r for k, r in zip(kind, x) if k == 0], prior)
 
 
