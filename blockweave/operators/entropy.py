@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 HEADER = 512
 FULL = 65535
+#: The longest code that is decoded by a table over all bits.
+WINDOW = 16
 
 
 class CorruptChunk(ValueError):
@@ -93,22 +95,41 @@ def decode(chunk: bytes, size: int) -> bytes:
     table = codes(np.frombuffer(chunk[:HEADER], "<u2"))
     if not table and size:
         raise CorruptChunk("a chunk without symbols")
-    wide = max((n for n, _ in table.values()), default=1)
-    text = np.unpackbits(np.frombuffer(chunk[HEADER:], np.uint8)).tobytes()
-    by = {(n, b): s for s, (n, b) in table.items()}
     if len(table) == 1:
         return bytes([next(iter(table))]) * size
-    out, at, end = bytearray(), 0, len(text)
+    bits = np.unpackbits(np.frombuffer(chunk[HEADER:], np.uint8))
+    wide = max(n for n, _ in table.values()) if table else 1
+    return _by_window(table, bits, wide, size) if wide <= WINDOW else _by_bit(table, bits, size)
+
+
+def _by_window(table: dict[int, tuple[int, int]], bits: np.ndarray, wide: int, size: int) -> bytes:
+    """Symbol and length at every bit, looked up for all bits at once; only the hops from code to code are a loop."""
+    bits = np.concatenate([bits, np.zeros(wide, np.uint8)])
+    ahead = np.zeros(len(bits) - wide + 1, np.int64)
+    for k in range(wide):
+        ahead = ahead << 1 | bits[k : k + len(ahead)]
+    symbol, length = np.zeros(1 << wide, np.uint8), np.zeros(1 << wide, np.int64)
+    for s, (n, b) in table.items():
+        first = b << (wide - n)
+        symbol[first : first + (1 << (wide - n))], length[first : first + (1 << (wide - n))] = s, n
+    hop, end, at, places = length[ahead].tolist(), len(ahead) - 1, 0, []
+    for _ in range(size):
+        places.append(at)
+        at += hop[at]
+        if at > end:
+            at = end
+    return symbol[ahead[places]].tobytes()
+
+
+def _by_bit(table: dict[int, tuple[int, int]], bits: np.ndarray, size: int) -> bytes:
+    """For trees deeper than a table can be."""
+    by = {(n, b): s for s, (n, b) in table.items()}
+    text, out, at = bits.tobytes(), bytearray(), 0
     while len(out) < size:
         n = b = 0
-        while True:
-            b = b << 1 | (text[at] if at < end else 0)
-            n, at = n + 1, at + 1
-            if (n, b) in by:
-                out.append(by[n, b])
-                break
-            if n > wide:
-                raise CorruptChunk("bits that are no code")
+        while (n, b) not in by:
+            b, n, at = b << 1 | (text[at] if at < len(text) else 0), n + 1, at + 1
+        out.append(by[n, b])
     return bytes(out)
 
 

@@ -54,6 +54,17 @@ def test_any_bytes_come_back(data):
     assert entropy.decode(entropy.encode(data), len(data)) == data
 
 
+def test_deep_trees_and_short_chunks():
+    data = b"".join(bytes([i]) * (1 << i) for i in range(15)) * 1 + bytes([200, 201, 202, 203])
+    deep = bytes([255]) * 3 + data
+    chunk = entropy.encode(deep)
+    table = entropy.codes(np.frombuffer(chunk[:512], "<u2"))
+    bits = np.unpackbits(np.frombuffer(chunk[512:], np.uint8))
+    assert entropy._by_bit(table, bits, len(deep)) == deep == entropy.decode(chunk, len(deep))
+    two = entropy.encode(b"aab")
+    assert entropy.decode(two[:512], 3) == entropy._by_bit(entropy.codes(np.frombuffer(two[:512], "<u2")), np.zeros(0, np.uint8), 3)
+
+
 def test_raw_blocks_come_back():
     block = np.linspace(-3, 900, 64, dtype=np.float32)
     assert (entropy.decode_block(entropy.encode_block(block)) == block).all()
