@@ -143,11 +143,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, query_blo
     c = scratch.write(_blocks(rows, block, n, width))
     q = scratch.write(_blocks(queries, query_block, m, width))
     ids = q.select(F.col("block").alias("q"))
-    ids = scratch.write(ids.agg(F.sort_array(F.collect_list("q")).alias("qs")))
+    each = F.explode(F.array(*map(F.lit, range(strips))))
+    ids = scratch.write(ids.agg(F.sort_array(F.collect_list("q")).alias("qs")).select(each.alias("strip"), "qs"))
     strip = F.pmod(F.xxhash64("block"), F.lit(strips)).cast("int")
     # every block of candidates goes to every block of queries: the stated query set against all rows, in blocks
-    cells = c.join(F.broadcast(ids)).select(F.explode("qs").alias("q"), strip.alias("strip"), F.col("top"), "ids", "v")
-    heads = q.select(F.col("block").alias("q"), F.explode(F.array(*map(F.lit, range(strips)))).alias("strip"), F.lit(None).cast("double").alias("top"), "ids", "v")
+    cells = c.withColumn("strip", strip).join(F.broadcast(ids), "strip").select(F.explode("qs").alias("q"), "strip", "top", "ids", "v")
+    heads = q.select(F.col("block").alias("q"), each.alias("strip"), F.lit(None).cast("double").alias("top"), "ids", "v")
     cells = cells.unionByName(heads).repartition(max(1, -(-m // query_block)) * strips, "q", "strip").sortWithinPartitions("q", "strip", F.desc_nulls_first("top"))
 
     def run(batches):
