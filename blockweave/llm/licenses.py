@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, Scratch
 
 #: Phrases that count wherever their words stand consecutively.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -42,7 +42,7 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, gap: int = 3, covera
     the parameters fix and which is broadcast. Matches vote for their diagonal, document position less template
     position. Diagonals of one template at most ``gap`` apart are merged, and a merged span is verified: it must hold
     ``coverage`` of the template's pairs in no more room than the template and its shifts take. A phrase counts
-    where one diagonal holds all its pairs. Votes are combined before they shuffle, by row.
+    where one diagonal holds all its pairs. Matches are written to the shared folder; votes are combined before they shuffle, by row.
 
     Null and empty texts have no words, no labels ('') and score 0; repeated rows stay, each with its own result;
     a null doc_id stays; other columns are not read.
@@ -57,7 +57,9 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, gap: int = 3, covera
     pairs = F.when(F.size("w") > 1, F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w) - 1)"), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
     # the pair of two empty words ends each list: it keeps documents that match nothing
     rows = rows.select("row", "doc_id", F.size("w").alias("n_words"), F.posexplode(F.array_append(pairs, F.xxhash64(F.lit(""), F.lit("")))).alias("pos", "gram"))
-    votes = rows.join(F.broadcast(known), "gram").groupBy("row", "doc_id", "n_words", "t", "label", "base", "need", (F.col("pos") - F.col("i")).alias("diagonal"))
+    # matches are few: written once, the text is never read again and a lost executor costs no second scan
+    hits = rows.join(F.broadcast(known), "gram").select("row", "doc_id", "n_words", "t", "label", "base", "need", "pos", (F.col("pos") - F.col("i")).alias("diagonal"))
+    votes = Scratch(spark, "licenses").write(hits).groupBy("row", "doc_id", "n_words", "t", "label", "base", "need", "diagonal")
     votes = votes.agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     by = Window.partitionBy("row", "t").orderBy("diagonal")
     apart = F.when(~F.col("base") & (F.col("t") >= 0) & (F.col("diagonal") - F.lag("diagonal").over(by) <= gap), F.lit(0)).otherwise(F.lit(1))
