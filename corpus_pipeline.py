@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockweave.llm import mixing, packing, secrets, simhash, toxicity
+from blockweave.llm import mixing, near_copies, packing, secrets, toxicity
 from blockweave.llm.common import Scratch, table
 from blockweave.llm.queries import tokenizer_path
 
@@ -19,8 +19,8 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays, the one with the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each component of near copies (5-word shingles, similarity 0.8 or more) stays, the smallest doc_id."""
+    return near_copies.drop_near_copies(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
