@@ -10,9 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Long runs of key characters with a digit, and shorter values right after a telling name.
+#: Long runs of key characters with a digit, and shorter values right after a telling name; behind its "=" the value is whole.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
+    r"(?<![A-Za-z0-9+/_\-])(?:(?<!=)|(?<!(?i:passw(?:or)?d|pwd|secret|token|key)[\"']{0,1}[ ]{0,1}[=:]{0,1}=))(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
     r"|(?:(?<=[=:\"'])|(?<=[=:] ))(?<=(?i:passw(?:or)?d|pwd|secret|token|key)[\"']{0,1}[ ]{0,1}[=:]{1,2}[ ]{0,1}[\"']{0,1})(?![ \"'])[^\s\"',;<>]{8,}+"
 )
 #: A text without a digit, "=" or ":" holds no candidate; finding that out costs a fraction of the search.
