@@ -247,9 +247,36 @@ def links(nodes: DataFrame, scratch: Scratch, least: float, overlap: int, shard:
     return scratch.write(whole.groupBy("shard").applyInArrow(_search_shard(least, beam), "node long, n long, root long"))
 
 
-def recall(nodes: DataFrame, counted: DataFrame, least: float, audit: int) -> float:
-    """Share of the links of ``audit`` nodes (the first by a hash), counted by brute force, that were found."""
-    some = first_by_hash(nodes.join(counted, "node").select("node", "x", "n"), "node", audit, counted.count(), 9).collect()
+def exact_links(nodes: DataFrame, scratch: Scratch, least: float, block: int = 2048) -> DataFrame:
+    """``(node, n, root)`` as ``links`` gives it, from all pairs: a cell for each two blocks of nodes."""
+    b = max(1, -(-nodes.count() // block))
+    rows = nodes.select("node", "x", "times", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(b)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("h"))
+    rows = rows.select("node", "x", "times", "g", F.least("g", "h").alias("a"), F.greatest("g", "h").alias("z"))
+
+    def compare(t):  # pa.Table to pa.Table
+        t = t.sort_by("node")
+        node, x, times, g = t.column("node").to_numpy(), _matrix(t.column("x")), t.column("times").to_numpy(), t.column("g").to_numpy()
+        one, two = np.flatnonzero(g == t.column("a")[0].as_py()), np.flatnonzero(g == t.column("z")[0].as_py())
+        near = (x[one] @ x[two].T >= least) & (one[:, None] != two[None, :])
+        n = np.zeros(len(node), np.int64)
+        n[one] = near @ times[two]
+        n[two] = near.T @ times[one]
+        i, j = np.nonzero(near)
+        return pa.table({"node": node, "n": n, "root": node[spanning(len(node), one[i], two[j])]})
+
+    return scratch.write(rows.groupBy("a", "z").applyInArrow(compare, "node long, n long, root long"))
+
+
+def recall(nodes: DataFrame, counted: DataFrame, least: float, audit: int, crowd: int = 32) -> float:
+    """Mean share of a node's links, counted by brute force, that were found: the lower one of nodes in crowds (more
+    than ``crowd`` links) and of the others. Of nodes found with no, few and many links ``audit`` each are judged (the
+    first by a hash), weighted by how many there are, so neither crowds nor nodes without links hide the others."""
+    judged, some, weight = nodes.join(counted, "node").select("node", "x", "n"), [], {}
+    for part in (judged.where("n = 0"), judged.where(f"n between 1 and {crowd}"), judged.where(f"n > {crowd}")):
+        size = part.count()
+        own = first_by_hash(part, "node", audit, size, 9).collect() if size else []
+        weight |= {r.node: size / len(own) for r in own}
+        some += own
     if not some:
         return 1.0
     q, ids = _matrix(pa.chunked_array([pa.array([r.x for r in some], pa.binary())])), np.array([r.node for r in some])
@@ -265,12 +292,15 @@ def recall(nodes: DataFrame, counted: DataFrame, least: float, audit: int) -> fl
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["node", "n"])
 
     exact = {r.node: r.n for r in nodes.select("node", "x", "times").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()}
-    want = sum(exact.values())
-    return sum(min(r.n, exact[r.node]) for r in some) / want if want else 1.0
+    shares = []
+    for own in ([r for r in some if 0 < exact[r.node] <= crowd], [r for r in some if exact[r.node] > crowd]):
+        if own:
+            shares.append(sum(weight[r.node] * min(r.n, exact[r.node]) / exact[r.node] for r in own) / sum(weight[r.node] for r in own))
+    return min(shares, default=1.0)
 
 
 def near_duplicates(
-    vectors: DataFrame, least: float = 0.95, shard: int = 1200, most_shards: int = 4096, sample: int = 20000, beam: int = 24, audit: int = 256, overlaps: tuple[int, ...] = (2, 4)
+    vectors: DataFrame, least: float = 0.95, shard: int = 1200, most_shards: int = 4096, sample: int = 20000, beam: int = 24, audit: int = 256, overlaps: tuple[int, ...] = (2, 4, 8)
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, a row for each row of ``vectors(vec_id, embedding)``.
 
@@ -278,8 +308,9 @@ def near_duplicates(
     nearest of k centres (spherical k-means on ``sample`` nodes, the first by a hash; about ``shard`` nodes a shard).
     Each shard builds a robust-pruned graph; a node's lists from all its shards are united; each shard then runs a
     range-expanding greedy search for all its nodes, from its medoid and the node itself. Only exact cosines make a link. A
-    shard returns counts and spanning links, never the pairs, so a group of g near copies costs g rows. ``audit``
-    nodes are compared with all nodes; below a recall of 0.9 the next overlap is tried.
+    shard returns counts and spanning links, never the pairs, so a group of g near copies costs g rows. A sample
+    of nodes is compared with all nodes; below a recall of 0.9 the next overlap is tried, after the last one all
+    pairs are compared.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing: n_links 0, their own
     component, kept. Shorter vectors count as padded with zeros. Repeated rows link with each other, and a null
@@ -300,6 +331,9 @@ def near_duplicates(
         counted = scratch.write(found.groupBy("node").agg(F.sum("n").alias("n")))
         if recall(nodes, counted, least, audit) >= 0.9:
             break
+    else:
+        found = exact_links(nodes, scratch, least)
+        counted = scratch.write(found.groupBy("node").agg(F.sum("n").alias("n")))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     named = nodes.select("node", "times", "low").join(counted, "node", "left").join(roots, "node", "left")
     named = scratch.write(named.select("node", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), "low", F.coalesce("root", "node").alias("root")))

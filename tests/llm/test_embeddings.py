@@ -65,3 +65,22 @@ def test_empty(spark):
     assert embeddings.near_duplicates(df).count() == 0
     one = spark.createDataFrame([(4, [1.0]), (5, None)], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, embeddings.near_duplicates(one).collect())) == [(4, 0, 4, True), (5, 0, 5, True)]
+
+
+def test_a_crowd_hides_no_lost_links(spark):
+    rng = np.random.default_rng(3)
+    pairs = np.repeat(rng.normal(size=(60, 32)), 2, axis=0)
+    x = np.concatenate([rng.normal(size=32) + 1e-3 * rng.normal(size=(120, 32)), pairs + 1e-3 * rng.normal(size=(120, 32))])
+    rows = [(i, embeddings.unit(v).astype("<f8").tobytes(), 1, 119 if i < 120 else i % 4 // 2) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "node long, x binary, times long, n long")
+    assert embeddings.recall(df.drop("n"), df.select("node", "n"), 0.95, 256) == 0.5
+
+
+def test_all_pairs_when_no_overlap_is_enough(spark, monkeypatch):
+    rows = clouds()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embeddings, "recall", lambda *_: 0.5)
+    exact = embeddings.exact_links
+    monkeypatch.setattr(embeddings, "exact_links", lambda n, s, least: exact(n, s, least, 70))
+    got = sorted(map(tuple, embeddings.near_duplicates(df, shard=20, overlaps=(1,)).collect()), key=repr)
+    assert got == brute(rows)
