@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER
 
 #: (verdict, host, path without its first slash).
-RULES = (("block", "com", "en/"), ("allow", "example.com", "en/7"), ("block", "net", "de/"), ("allow", "example.net", "de/8"), ("block", "org", "es/"))
+RULES = (("block", "com", "en/"), ("allow", "example.com", "en/7"), ("allow", "net", "de/"), ("block", "example.net", "de/8"), ("block", "org", "es/"))
 #: Weight 2 is strict: one hit rejects. Weight 1 is soft: that many distinct hits reject as LIMIT says.
 VOCABULARY = {
     "porn": 2, "xxx": 2, "casino": 2, "viagra": 2, "cialis": 2, "escort": 2, "pills": 2, "spam": 2, "bets": 2, "betting": 2, "ads": 2, "malware": 2, "phishing": 2, "warez": 2,

@@ -49,3 +49,14 @@ def test_empty_table_and_vocabulary(spark):
 @pytest.mark.parametrize("url", URLS)
 def test_split(url):
     assert urls.split_url(url) == by_hand(url)[:2]
+
+
+def test_the_rules_by_hand(spark):
+    """Verdicts written out, so that a wrong rule can't hide behind the table that SQL and code share."""
+    want = [
+        ("http://com/en/x", "com/en/", "block"), ("http://a.com/en/", "com/en/", "block"), ("http://example.com/en/71", "example.com/en/7", "allow"), ("http://w.example.com/en/7", "example.com/en/7", "allow"),
+        ("http://example.com/en/8", "com/en/", "block"), ("http://a.net/de/casino", "net/de/", "allow"), ("http://example.net/de/7", "net/de/", "allow"), ("http://example.net/de/8", "example.net/de/8", "block"),
+        ("http://w.example.net/de/81", "example.net/de/8", "block"), ("http://a.org/es/free", "org/es/", "block"), ("http://a.org/en/free", None, "allow"),
+    ]
+    df = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(want)], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in sorted(urls.judge_urls(df).collect())] == [w[1:] for w in want]
