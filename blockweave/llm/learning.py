@@ -34,21 +34,21 @@ def by_hash(ids: DataFrame, most: int, seed: int = 11) -> DataFrame:
     return first_by_hash(ids, "doc_id", most, ids.count(), seed)
 
 
-def sample_features(docs: DataFrame, ids: DataFrame, features: Callable[[str | None], list[int]], scratch: Scratch) -> pa.Table:
+def sample_features(docs: DataFrame, ids: DataFrame, features: Callable[[str | None], list[int]], scratch: Scratch, number: pa.DataType = pa.int64()) -> pa.Table:
     """``(doc_id, kind, x)`` of the documents named by the bounded table ``ids(doc_id, kind)``, one row for each id.
 
     The ids, whose number a parameter bounds, are broadcast; features are made where the text is; only their
-    numbers reach the driver. A doc_id on several rows gives the smallest list of features.
+    numbers, of the type ``number``, reach the driver. A doc_id on several rows gives the smallest list of features.
     """
 
     def run(batches):
         for b in batches:
-            x = pa.array([features(t) for t in b.column(2).to_pylist()], pa.list_(pa.int64()))
+            x = pa.array([features(t) for t in b.column(2).to_pylist()], pa.list_(number))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["doc_id", "kind", "x"])
 
     ids = scratch.write(ids)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = rows.select("doc_id", "kind", "text").mapInArrow(run, "doc_id long, kind int, x array<bigint>")
+    rows = rows.select("doc_id", "kind", "text").mapInArrow(run, f"doc_id long, kind int, x array<{'int' if number == pa.int32() else 'bigint'}>")
     return rows.groupBy("doc_id", "kind").agg(F.min("x").alias("x")).orderBy("doc_id", "kind").toArrow()
 
 

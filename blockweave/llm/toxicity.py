@@ -63,30 +63,53 @@ def _distinct(rows: list[list[int]], common: np.ndarray, bands: int = 5, width:
 
 def _tally(rows: list) -> np.ndarray:
     """In how many rows each word is."""
-    n = np.zeros(BUCKETS, np.int64)
-    for r in rows:
-        n[np.asarray(r, np.int64)] += 1
-    return n
+    return np.bincount(np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64), minlength=BUCKETS)
+
+
+def likelihood_ratio(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """Twice the log likelihood ratio of two shares against one common share; 0 where positives hold no larger share."""
+    both = in_p + in_u
+    e = both * (n_p / (n_p + n_u))
+    ratio = 2 * (in_p * np.log(np.maximum(in_p, 1) / np.maximum(e, 1e-9)) + in_u * np.log(np.maximum(in_u, 1) / np.maximum(both - e, 1e-9)))
+    ratio[in_p <= e] = 0
+    return ratio
 
 
-def train_nnpu(positive: list, unlabelled: list, prior: float, columns: int = 400, epochs: int = 200, rate: float = 0.1, decay: float = 1e-4) -> Model:
-    """Minimise  prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)])  + decay * |w|^2,  l the logistic loss.
+def choose(positive: list, unlabelled: list, columns: int, chance: float, draws: int = 20, seed: int = 3) -> np.ndarray:
+    """The words that stand out among positives, at most ``columns``, the clearest first.
 
-    Columns are the words whose share among positives stands out most from the unlabelled, by a likelihood ratio
-    that chance hardly gives to any of a million words. Adam over the full bounded sample. Where the corrected negative risk falls below zero the
-    step goes against its gradient, as the non-negative estimator asks. No positives: a constant score.
+    What chance alone yields is measured, not assumed: ``draws`` times as many unlabelled rows as there are positives
+    play their part. The cut is the lowest at which at most the share ``chance`` of the words above it is expected to be there
+    by chance; so it follows the size of the sample, from ten positives up.
+    """
+    n_p, n_u, in_u = len(positive), len(unlabelled), _tally(unlabelled)
+    real, rng, null = likelihood_ratio(_tally(positive), in_u, n_p, n_u), np.random.default_rng(seed), []
+    for _ in range(draws):
+        own = likelihood_ratio(_tally([unlabelled[i] for i in rng.permutation(n_u)[:n_p]]), in_u, n_p, n_u)
+        null.append(own[own > 1])
+    null, high = np.sort(np.concatenate(null)), np.sort(real[real > 1])
+    cuts = np.unique(high)
+    by_chance = (len(null) - np.searchsorted(null, cuts)) / draws
+    fine = cuts[by_chance <= chance * (len(high) - np.searchsorted(high, cuts))]
+    if not len(fine):
+        return np.zeros(0, np.int64)
+    best = np.argsort(-real, kind="stable")[:columns]
+    return best[real[best] >= fine[0]]
+
+
+def train_nnpu(positive: list, unlabelled: list, prior: float, columns: int = 400, epochs: int = 200, rate: float = 0.1, decay: float = 1e-3, chance: float = 0.1) -> Model:
+    """Minimise  prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)])  + decay / 2 * |w|^2,  l the logistic loss.
+
+    Columns are the words that ``choose`` finds. Adam over the full bounded sample. Where the corrected negative risk
+    falls below zero the step goes against its gradient, as the non-negative estimator asks. No positives, or no word that stands
+    out among them: a constant score.
     """
     prior = min(max(prior, 1e-4), 0.9)
     if not positive or not unlabelled:
         return Model(float(np.log(prior / (1 - prior))) if positive or unlabelled else -35.0)
     positive = _distinct(positive, _tally(unlabelled) > 0.02 * len(unlabelled))
     n_p, n_u = len(positive), len(unlabelled)
-    in_p, in_u = _tally(positive), _tally(unlabelled)
-    e = (in_p + in_u) * (n_p / (n_p + n_u))
-    ratio = 2 * (in_p * np.log(np.maximum(in_p, 1) / np.maximum(e, 1e-9)) + in_u * np.log(np.maximum(in_u, 1) / np.maximum(in_p + in_u - e, 1e-9)))
-    ratio[in_p <= e] = 0
-    chosen = np.argsort(-ratio, kind="stable")[:columns]
-    chosen = chosen[ratio[chosen] > 25]
+    chosen = choose(positive, unlabelled, columns, chance)
     place = np.full(BUCKETS, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
 
@@ -132,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int =
     p = by_hash(may.where("toxic = 1"), most_positive).withColumn("kind", F.lit(1))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     u = by_hash(ids.where(fold(F.col("doc_id"), folds) != 0), most_unlabelled).withColumn("kind", F.lit(0))
-    t = sample_features(docs, p.unionByName(u), word_ids, scratch)
+    t = sample_features(docs, p.unionByName(u), word_ids, scratch, pa.int32())
     kind, x = t.column("kind").to_pylist(), arrays(t.column("x"))
     return train_nnpu([r for k, r in zip(kind, x) if k == 1], [r for k, r in zip(kind, x) if k == 0], prior)
 
@@ -140,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int =
 def score(docs: DataFrame, model: Model, folds: int = 5, threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` and the columns in ``carry`` for each row of ``docs``; no shuffle.
 
-    Null and empty texts get the score of no words. Repeated rows stay; a null doc_id isn't held out.
+    Null and empty texts get the score of no words. Repeated rows stay; a null doc_id isn't held out; no rows give
+    no rows. ``carry`` names columns of ``docs``; other columns are not read.
     """
 
     def run(batches):
@@ -156,7 +180,12 @@ def score(docs: DataFrame, model: Model, folds: int = 5, threshold: float = 0.5,
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the model calls toxic; the columns stay."""
+    """``docs`` without the rows that the model calls toxic; the columns stay, whatever their names.
+
+    Rows that stay are as they were: null and empty texts get the score of no words (below 0.5 unless half of the
+    labelled rows are toxic), repeated rows go or stay together, a null doc_id is judged like any other. Without labels, or
+    without rows, nothing goes.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     own = [F.col(names[docs.columns.index(c)]).alias(c) for c in ("doc_id", "text")]

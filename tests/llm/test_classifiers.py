@@ -63,3 +63,41 @@ def test_neighbours_vote_by_exact_cosine():
     m = quality.train(rows, [1, 1, 0, 0], neighbours=2)
     s = m.score(rows)
     assert s[:2].min() > 0.9 and s[2:].max() < 0.1
+
+
+def risk(model, pos, unl, prior, decay):
+    """The non-negative risk, a document at a time."""
+    loss = lambda z: float(np.log1p(np.exp(-z)))
+    z = lambda r: model.bias + sum(model.weights.get(i, 0.0) for i in r)
+    p, p_as_n, u_as_n = (sum(loss(s * z(r)) for r in rows) / len(rows) for s, rows in ((1, pos), (-1, pos), (-1, unl)))
+    return prior * p + max(0.0, u_as_n - prior * p_as_n) + decay / 2 * sum(w * w for w in model.weights.values())
+
+
+def test_training_comes_near_the_least_risk():
+    rng = np.random.default_rng(2)
+    clean = lambda: rng.choice(3000, 40, replace=False).tolist()
+    pos = [[*clean(), 500 + i % 3] for i in range(120)]
+    unl = [[*clean(), 500 + int(rng.integers(3))] if rng.random() < 0.2 else clean() for _ in range(900)]
+    m = toxicity.train_nnpu(pos, unl, 0.2, epochs=600)
+    assert {500, 501, 502} <= set(m.weights)
+    own = toxicity._distinct(pos, toxicity._tally(unl) > 0.02 * len(unl))
+    least = risk(m, own, unl, 0.2, 1e-3)
+    assert least < risk(toxicity.Model(float(np.log(0.25)), {}), own, unl, 0.2, 1e-3)
+    for k in [None, *m.weights]:
+        for step in (-0.4, 0.4):
+            moved = toxicity.Model(m.bias + step * (k is None), {i: w + step * (i == k) for i, w in m.weights.items()})
+            assert risk(moved, own, unl, 0.2, 1e-3) > least - 2e-3
+
+
+def test_ten_positives_teach_and_chance_does_not():
+    rng = np.random.default_rng(5)
+    clean = lambda: rng.choice(4000, 200, replace=False).tolist()
+    bad = lambda: [9000 + int(i) for i in rng.choice(8, 3, replace=False)]
+    pos = [clean() + bad() for _ in range(10)]
+    unl = pos + [clean() + (bad() if rng.random() < 0.1 else []) for _ in range(150)]
+    m = toxicity.train_nnpu(pos, unl, 0.15)
+    assert np.mean([m.score(clean() + bad()) >= 0.5 for _ in range(50)]) > 0.8
+    assert np.mean([m.score(clean()) >= 0.5 for _ in range(200)]) < 0.03
+    # positives that are like all others: nothing stands out, the score is constant
+    m = toxicity.train_nnpu([clean() for _ in range(10)], [clean() for _ in range(150)], 0.15)
+    assert len(m.weights) <= 2
