@@ -78,14 +78,18 @@ def likelihood_ratio(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) ->
 def choose(positive: list, unlabelled: list, columns: int, chance: float, draws: int = 20, seed: int = 3) -> np.ndarray:
     """The words that stand out among positives, at most ``columns``, the clearest first.
 
-    What chance alone yields is measured, not assumed: ``draws`` times as many unlabelled rows as there are positives
-    play their part. The cut is the lowest at which at most the share ``chance`` of the words above it is expected to be there
-    by chance; so it follows the size of the sample, from ten positives up.
+    Shares are compared with those of a pool: the unlabelled rows and the positives that aren't among them. What
+    chance alone yields is measured, not assumed: ``draws`` times as many rows of the pool as there are positives play
+    their part. The cut is the lowest at which at most the share ``chance`` of the words above it is expected there by
+    chance; so it follows the size of the sample, from ten positives up.
     """
-    n_p, n_u, in_u = len(positive), len(unlabelled), _tally(unlabelled)
-    real, rng, null = likelihood_ratio(_tally(positive), in_u, n_p, n_u), np.random.default_rng(seed), []
+    key = lambda r: np.asarray(r, np.int64).tobytes()
+    known = {key(r) for r in unlabelled}
+    pool = [*unlabelled, *(r for r in positive if key(r) not in known)]
+    n_p, n, in_pool = len(positive), len(pool), _tally(pool)
+    real, rng, null = likelihood_ratio(_tally(positive), in_pool, n_p, n), np.random.default_rng(seed), []
     for _ in range(draws):
-        own = likelihood_ratio(_tally([unlabelled[i] for i in rng.permutation(n_u)[:n_p]]), in_u, n_p, n_u)
+        own = likelihood_ratio(_tally([pool[i] for i in rng.permutation(n)[:n_p]]), in_pool, n_p, n)
         null.append(own[own > 1])
     null, high = np.sort(np.concatenate(null)), np.sort(real[real > 1])
     cuts = np.unique(high)
@@ -97,7 +101,7 @@ def choose(positive: list, unlabelled: list, columns: int, chance: float, draws:
     return best[real[best] >= fine[0]]
 
 
-def train_nnpu(positive: list, unlabelled: list, prior: float, columns: int = 400, epochs: int = 200, rate: float = 0.1, decay: float = 1e-3, chance: float = 0.1) -> Model:
+def train_nnpu(positive: list, unlabelled: list, prior: float, columns: int = 400, epochs: int = 200, rate: float = 0.1, decay: float = 3e-4, chance: float = 0.1) -> Model:
     """Minimise  prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)])  + decay / 2 * |w|^2,  l the logistic loss.
 
     Columns are the words that ``choose`` finds. Adam over the full bounded sample. Where the corrected negative risk
