@@ -13,23 +13,48 @@ from .learning import first_by_hash
 
 #: Scores of sums below this are exact in double precision.
 EXACT = float(1 << 52)
-#: Scores of vectors up to this length fit 64 bits.
-LONGEST = float(1 << 31)
+#: Stands for scores below those of 64 bits while better ones may still come.
+TOO_LOW = -(1 << 63)
 
 
 def whole_numbers(v: list | None, scale: int = 64) -> np.ndarray | None:
-    """floor(scale * x) of each component as 64-bit integers; None if the vector takes no part."""
+    """floor(scale * x) of each component, whole numbers in double precision; None if the vector takes no part."""
     if v is None or any(x is None for x in v):
         return None
-    x = np.floor(scale * np.array(v, np.float64))
-    return x.astype(np.int64) if np.isfinite(x).all() and float(np.sqrt((x * x).sum())) < LONGEST else None
+    x = np.array(v, np.float64)
+    if not np.isfinite(x).all():
+        return None
+    x = np.floor(scale * x)
+    if not np.isfinite(x).all():
+        raise OverflowError(f"a component times {scale} is beyond double precision")
+    return x
+
+
+def _length(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of rows, also where squares leave double precision."""
+    most = np.abs(x).max(axis=1, initial=0.0, keepdims=True)
+    return most[:, 0] * np.sqrt(((x / np.where(most > 0, most, 1)) ** 2).sum(axis=1))
 
 
-def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products; through doubles where those are exact."""
-    if q.size and c.size and float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] < EXACT:
-        return np.rint(q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
-    return q @ c.T
+def _products(q: np.ndarray, c: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Exact inner products, where ``wanted``, of whole numbers: through doubles, or where those aren't exact through wider integers.
+
+    A product above 64 bits is an error, one below becomes ``TOO_LOW``.
+    """
+    s = q @ c.T
+    high_q, high_c = np.abs(q).max(axis=1, initial=0.0), np.abs(c).max(axis=1, initial=0.0)
+    wide = ~(np.outer(high_q, high_c) * max(1, q.shape[1]) < EXACT)
+    s[wide] = 0
+    wide = np.argwhere(wide & wanted)
+    s = np.rint(s).astype(np.int64)
+    if len(wide):
+        a, b = ({i: [int(x) for x in m[i]] for i in set(at.tolist())} for m, at in ((q, wide[:, 0]), (c, wide[:, 1])))
+        for i, j in wide.tolist():
+            own = sum(x * y for x, y in zip(a[i], b[j]))
+            if own >= 1 << 63:
+                raise OverflowError("a score is beyond 64 bits")
+            s[i, j] = max(own, TOO_LOW)
+    return s
 
 
 class Best:
@@ -37,28 +62,28 @@ class Best:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int, head: int) -> None:
         self.ids, self.q, self.k, self.head = ids, vectors, k, head
-        r = vectors.astype(np.float64) @ rotation
-        self.first, self.rest = r[:, :head], np.sqrt((r[:, head:] ** 2).sum(axis=1))
-        self.norm = np.sqrt((r**2).sum(axis=1))
+        r = vectors @ rotation
+        self.first, self.rest = r[:, :head], _length(r[:, head:])
+        self.norm = _length(vectors)
         self.least = np.full(len(ids), -np.inf)
         self.row, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, ids: np.ndarray, c: np.ndarray, rotation: np.ndarray) -> None:
-        r = c.astype(np.float64) @ rotation
-        norm = np.sqrt((r**2).sum(axis=1))
-        slack = 1e-9 * (1 + self.norm * (norm.max() if len(norm) else 0))
-        live = np.flatnonzero(self.norm * (norm.max() if len(norm) else 0) + slack >= self.least)
+        r = c @ rotation
+        norm = _length(c).max(initial=0.0)
+        slack = 1e-9 * (1 + self.norm * norm)
+        # what isn't known to be too low stays: comparisons are negated, so that numbers that aren't finite prune nothing
+        live = np.flatnonzero(~(self.norm * norm + slack < self.least))
         if not len(live) or not len(ids):
             return
         # partial sums over the leading directions; Cauchy-Schwarz bounds what the others can add
-        bound = self.first[live] @ r[:, : self.head].T + np.outer(self.rest[live], np.sqrt((r[:, self.head :] ** 2).sum(axis=1)))
-        may = bound + slack[live, None] >= self.least[live, None]
+        bound = self.first[live] @ r[:, : self.head].T + np.outer(self.rest[live], _length(r[:, self.head :]))
+        may = ~(bound + slack[live, None] < self.least[live, None])
         cols = np.flatnonzero(may.any(axis=0))
         if not len(cols):
             return
-        s = _products(self.q[live], c[cols])
-        own = self.ids[live, None] == ids[cols][None, :]
-        may = may[:, cols] & ~own
+        may = may[:, cols] & (self.ids[live, None] != ids[cols][None, :])
+        s = _products(self.q[live], c[cols], may)
         f = np.where(may, s.astype(np.float64), -np.inf)
         if f.shape[1] > self.k:
             f_k = -np.partition(-f, self.k - 1, axis=1)[:, self.k - 1]
@@ -66,7 +91,7 @@ class Best:
             f_k = np.full(len(live), -np.inf)
         row, col = np.nonzero(may & (f >= np.maximum(f_k, self.least[live])[:, None]))
         self.row, self.id, self.score = (np.concatenate(x) for x in ((self.row, live[row]), (self.id, ids[cols[col]]), (self.score, s[row, col])))
-        order = np.lexsort((self.id, -self.score, self.row))
+        order = np.lexsort((self.id, ~self.score, self.row))
         row = self.row[order]
         nth = np.arange(len(row)) - np.searchsorted(row, row, side="left")
         order = order[nth < self.k]
@@ -86,9 +111,9 @@ def _blocks(rows: DataFrame, size: int, n: int, width: int) -> DataFrame:
         part, ids, vs, top, k = TaskContext.get().partitionId(), [], [], 0.0, 0
 
         def block():
-            m = np.zeros((len(vs), width), np.int64)
+            m = np.zeros((len(vs), width))
             for i, v in enumerate(vs):
-                m[i, : len(v) // 8] = np.frombuffer(v, "<i8")
+                m[i, : len(v) // 8] = np.frombuffer(v, "<f8")
             return pa.RecordBatch.from_arrays([pa.array([part << 20 | k]), pa.array([top]), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["block", "top", "ids", "v"])
 
         for b in batches:
@@ -106,20 +131,21 @@ def _blocks(rows: DataFrame, size: int, n: int, width: int) -> DataFrame:
     return spread.sortWithinPartitions(F.desc("norm"), "vec_id").mapInArrow(run, "block long, top double, ids binary, v binary")
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, query_block: int = 512, block: int = 4096, strips: int = 8, head: int = 16, sample: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, query_block: int = 4096, block: int = 4096, part: int = 512, strips: int = 8, head: int = 16, sample: int = 4096) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` highest integer inner products of each query with all other rows.
 
     Vectors are cut by descending length into blocks. A task holds one block of queries and streams the blocks
     of one strip (every ``strips``-th block) from the longest to the shortest: a block whose greatest length can't
-    reach any query's k-th score is passed over; inside a block the leading directions of an SVD (fitted on
+    reach any query's k-th score is passed over; inside a block, ``part`` rows at a time, the leading directions of an SVD (fitted on
     ``sample`` vectors, the first by a hash; it steers pruning, not results) give partial sums, and lengths of the
     remainders bound the rest; survivors get exact integer products. Ties at the bound are kept. Strips' results,
-    ``k`` for each query, are ranked together. Memory is two blocks for each task.
+    ``k`` for each query, are ranked together. Memory is two blocks for each task and one part's products.
 
-    Vectors that are null, hold null or non-finite components, or are too long for scores of 64 bits (2**31 after
-    scaling) take no part. Vectors of different lengths meet on
+    Vectors that are null or hold null or non-finite components take no part; all others do, however long. Products
+    beyond the exact range of doubles are computed in wider integers; a score among the k highest that doesn't fit 64
+    bits is an error, and so is a component that leaves double precision when scaled. Vectors of different lengths meet on
     their common components. Rows that share a query's vec_id are its own; a repeated query id searches with its
-    smallest vector; repeated rows are candidates each. Null ids take no part; no rows give no rows.
+    smallest vector; repeated rows are candidates each. Null ids take no part; other columns are not read; no rows give no rows.
     """
     scratch = Scratch(vectors.sparkSession, "topk")
 
@@ -127,18 +153,19 @@ def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, query_blo
         for b in batches:
             vs = [whole_numbers(v, scale) for v in b.column(1).to_pylist()]
             keep = [i for i, v in enumerate(vs) if v is not None]
-            norms = [float(np.sqrt((vs[i].astype(np.float64) ** 2).sum())) for i in keep]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), pa.array(norms, pa.float64()), pa.array([vs[i].astype("<i8").tobytes() for i in keep], pa.binary())], ["vec_id", "norm", "v"])
+            norms = [float(_length(vs[i][None, :])[0]) for i in keep]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), pa.array(norms, pa.float64()), pa.array([vs[i].astype("<f8").tobytes() for i in keep], pa.binary())], ["vec_id", "norm", "v"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>")).where("vec_id is not null")
     rows = scratch.write(rows.mapInArrow(prepare, "vec_id long, norm double, v binary"))
     queries = scratch.write(rows.where(is_query).groupBy("vec_id").agg(F.min("norm").alias("norm"), F.min("v").alias("v")).select("vec_id", F.col("norm"), "v"))
     n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.length("v")), F.lit(0))).first()
     m, width = queries.count(), width // 8
-    some = [np.frombuffer(r.v, "<i8") for r in first_by_hash(rows.select("v", "vec_id"), "vec_id", sample, n).collect()]
+    some = [np.frombuffer(r.v, "<f8") for r in first_by_hash(rows.select("v", "vec_id"), "vec_id", sample, n).collect()]
     x = np.zeros((max(1, len(some)), width))
     for i, v in enumerate(some):
         x[i, : len(v)] = v
+    x /= np.abs(x).max(initial=0.0) or 1.0
     rotation = np.linalg.eigh(x.T @ x)[1][:, ::-1].copy() if width else np.zeros((0, 0))
     c = scratch.write(_blocks(rows, block, n, width))
     q = scratch.write(_blocks(queries, query_block, m, width))
@@ -159,15 +186,18 @@ def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, query_blo
                 if top is None:
                     if best:
                         yield best.table()
-                    best = Best(at, np.frombuffer(v, "<i8").reshape(len(at), width), rotation, k, head)
-                elif (best.norm * top * (1 + 1e-9) + 1e-9 >= best.least).any():
-                    best.add(at, np.frombuffer(v, "<i8").reshape(len(at), width), rotation)
+                    best = Best(at, np.frombuffer(v, "<f8").reshape(len(at), width), rotation, k, head)
+                elif not (best.norm * top * (1 + 1e-9) + 1e-9 < best.least).all():
+                    c = np.frombuffer(v, "<f8").reshape(len(at), width)
+                    for s in range(0, len(at), part):
+                        best.add(at[s : s + part], c[s : s + part], rotation)
         if best:
             yield best.table()
 
     found = cells.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    fits = F.when(F.col("score") > F.lit(TOO_LOW), F.col("score")).otherwise(F.raise_error(F.lit("a score is beyond 64 bits")).cast("long"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", fits.alias("score"))
 
 
 def sql(k: int = 20, scale: int = 64, every: int = 20, table: str = "embeddings") -> str:
