@@ -27,14 +27,14 @@ def _form_id(form: bytes) -> int:
     if form not in _forms:
         if len(_forms) > 200_000:
             _forms.clear()
-        _forms[form] = zlib.crc32(b"f:" + _RUN.sub(rb"\1", form)[:12]) % BUCKETS
+        _forms[form] = zlib.crc32(b"f:" + _RUN.sub(rb"\1", form)) % BUCKETS
     return _forms[form]
 
 
 def term_counts(text: str | None) -> list[int]:
     """Terms of a whole text, each as term << 20 | count, sorted by term.
 
-    Terms are the forms of words, short words themselves (function words), steps of how often words and lines
+    Terms are the forms of words, the words themselves, steps of how often words and lines
     repeat, and steps of the length and of the mean word length.
     """
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -44,8 +44,7 @@ def term_counts(text: str | None) -> list[int]:
     words = raw.translate(ASCII_LOWER).split()
     counted = Counter(words)
     for w, n in counted.items():
-        if len(w) <= 5:
-            out[crc(b"w:" + w) % BUCKETS] += n
+        out[crc(b"w:" + w) % BUCKETS] += n
     lines = [x for x in raw.split(b"\n") if x]
     n, weight = len(words), max(4, len(words) // 8)
     for name, step in (
@@ -82,25 +81,28 @@ class Model:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, rows: list[list[int]]) -> np.ndarray:
-        """Labels of the nearest by exact cosine, weighted by similarity; without any likeness, the labels' mean."""
+        """Labels of the nearest by exact cosine, weighted by similarity; without any likeness, the labels' mean.
+
+        All that tie with the last of the nearest vote as well, so the order of the labelled rows decides nothing.
+        """
         if not len(self.vectors):
             return np.full(len(rows), self.default)
         z = self.embed(rows)
         cos = z @ self.vectors.T
         k = min(self.neighbours, cos.shape[1])
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(cos, near, 1), 0).astype(np.float64) ** 8
-        total = w.sum(axis=1)
-        votes = (w * self.labels[near]).sum(axis=1)
+        last = -np.partition(-cos, k - 1, axis=1)[:, k - 1]
+        row, near = np.nonzero(cos >= last[:, None])
+        w = np.maximum(cos[row, near], 0).astype(np.float64) ** 8
+        total = np.bincount(row, w, len(rows))
+        votes = np.bincount(row, w * self.labels[near], len(rows))
         return np.where(total > 1e-9, votes / np.maximum(total, 1e-9), self.default)
 
 
 def train(rows: list[list[int]], labels: list[int], terms: int = 1500, rank: int = 48, neighbours: int = 15) -> Model:
-    """Latent directions by singular values of the labelled rows' weighted term matrix."""
+    """Latent directions by singular values of the labelled rows' weighted term matrix: the most common terms of two rows and more."""
     y = np.array(labels, np.float64)
     seen = Counter(v >> 20 for r in rows for v in r)
-    least = 3 if len(rows) > 100 else 1
-    top = sorted((t for t, n in seen.items() if n >= least), key=lambda t: (-seen[t], t))[:terms]
+    top = sorted((t for t, n in seen.items() if n > 1), key=lambda t: (-seen[t], t))[:terms]
     m = Model({t: i for i, t in enumerate(top)}, np.array([np.log((1 + len(rows)) / (1 + seen[t])) + 0.3 for t in top], np.float32), np.eye(len(top), dtype=np.float32), np.zeros((0, 0), np.float32), y, neighbours, float(y.mean()) if len(y) else 0.5)
     if not top:
         return m
@@ -129,7 +131,8 @@ def score(docs: DataFrame, model: Model, folds: int = 4, out: int = 2, threshold
     """``(doc_id, held_out, score, predicted)`` for each row of ``docs``; one pass, no shuffle.
 
     Products run in blocks of documents against all labelled vectors. Null and empty texts are scored by their
-    few terms; repeated rows stay; a null doc_id isn't held out.
+    few terms; repeated rows stay; a null doc_id isn't held out; no rows give no rows, no labels the score 0.5; other
+    columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
