@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,9 @@ _memo: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 _tokenizers: dict[str, tuple] = {}
 
 MEMBER = "array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
-BIN = f"leaf long, fill int, members {MEMBER}"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 _MEMBER_TYPE = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())]))
-_OUT = pa.schema([("leaf", pa.int64()), ("sequence_id", pa.int64()), ("fill", pa.int32()), ("members", _MEMBER_TYPE)])
+_OUT = pa.schema([("leaf", pa.int64()), ("sequence_id", pa.int64()), ("fill", pa.int32()), ("room", pa.int32()), ("members", _MEMBER_TYPE)])
 
 
 class TextTokenizer:
@@ -146,39 +146,45 @@ def _merge(items: list[tuple[int, list[dict]]], limit: int) -> list[tuple[int, l
     return out
 
 
-def _table(bins: list[tuple[int, list[dict]]], leaf: int, seq: int, limit: int, slack: int, carry: int) -> pa.Table:
-    """Bins that leave at most ``slack`` tokens free get a number; the others are items of the next round, the
-    ``carry`` emptiest at most: so much of a node's work, not of its result, is bounded."""
-    order = sorted(range(len(bins)), key=lambda i: bins[i][0])
-    up = {i for i in order[:carry] if limit - bins[i][0] > slack}
+def _table(bins: list[tuple[int, list[dict]]], leaf: int, seq: int, limit: int) -> pa.Table:
+    """Bins with their numbers; ``room`` numbers those that aren't full among the ones of the same fill."""
+    same: Counter[int] = Counter()
+    room: list[int | None] = []
+    for fill, _ in bins:
+        room.append(same[fill] if fill < limit else None)
+        same[fill] += 1
     return pa.Table.from_arrays(
-        [pa.array([leaf] * len(bins), pa.int64()), pa.array([None if i in up else seq + i for i in range(len(bins))], pa.int64()), pa.array([f for f, _ in bins], pa.int32()), pa.array([m for _, m in bins], _MEMBER_TYPE)], schema=_OUT
+        [pa.array([leaf] * len(bins), pa.int64()), pa.array([seq + i for i in range(len(bins))], pa.int64()), pa.array([f for f, _ in bins], pa.int32()), pa.array(room, pa.int32()), pa.array([m for _, m in bins], _MEMBER_TYPE)], schema=_OUT
     )
 
 
-def _node(r: int, limit: int, slack: int, carry: int, fan_in: int):
+def _node(r: int, limit: int, fan_in: int):
     def node(t):  # pa.Table to pa.Table; the kind of function is told from its arguments
         items = list(zip(t.column("fill").to_pylist(), t.column("members").to_pylist()))
         leaf = t.column("leaf")[0].as_py() // fan_in
-        return _table(_merge(items, limit), leaf, (r << 56) + (leaf << 32), limit, slack, carry)
+        return _table(_merge(items, limit), leaf, (r << 56) + (leaf << 32), limit)
 
     return node
 
 
-def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0, slack: int = 2, fan_in: int = 8, carry: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0, fan_in: int = 8) -> DataFrame:
     """One row for each piece of ``docs(doc_id, text)``: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Each partition tokenises its documents, packs them best-fit, largest first, and numbers the bins with at
-    most ``slack`` free tokens. What is left, underfull bins with their members, goes up a tree: every round
-    packs the bins of ``fan_in`` neighbouring nodes as items. Only underfull bins ever shuffle, at most the
-    ``carry`` emptiest of each node (the others are numbered as they are), and the last round numbers whatever
-    remains. Each node's result depends on its rows only, not on their order, so a lost task is repeated exactly.
+    Each partition tokenises its documents and packs them best-fit, largest first. Full bins keep their number. What
+    is left, underfull bins with their members, goes up a tree: every round packs the bins of ``fan_in``
+    neighbouring nodes as items; the last round numbers whatever remains.
+
+    Best fit leaves no two bins of a node that would fit together, so at most one that is half empty. In
+    each round above it, then, a node's bins can take at most one bin of each of ``fan_in`` neighbours. So of the bins of one fill as
+    many go up as there are rounds to come times ``fan_in``; the others can't be needed and keep their number, and
+    the result is the one that all bins would give. What a node hands up is bounded by ``limit``, the fan-in and the depth, not by the
+    data. Each node's result depends on its rows only, not on their order, so a lost task is repeated exactly.
 
     Null and empty texts are a document of one token (``end_id``). Repeated rows are packed as often as they
     occur; a null doc_id is kept; no rows give no rows; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "pack")
-    out = f"leaf long, sequence_id long, fill int, members {MEMBER}"
+    out = f"leaf long, sequence_id long, fill int, room int, members {MEMBER}"
     tail = np.array([end_id], "<u4").tobytes()
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,19 +194,19 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0, sl
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 for k, start, n, crc in pieces_of(tok.ids(t.as_py()) + tail, limit):
                     items.append((n, [{"doc_id": i, "piece": k, "start": start, "length": n, "ids_crc32": crc, "offset": 0}]))
-        yield from _table(_merge(items, limit), leaf, leaf << 32, limit, slack, carry).to_batches()
+        yield from _table(_merge(items, limit), leaf, leaf << 32, limit).to_batches()
 
     state = scratch.write(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(local, out))
-    leaves = (state.agg(F.max("leaf")).first()[0] or 0) + 1
-    whole, r = state.where("sequence_id is not null"), 1
+    nodes, whole, r = (state.agg(F.max("leaf")).first()[0] or 0) + 1, None, 0
+    rounds = 0
+    while fan_in**rounds < nodes:
+        rounds += 1
     while True:
-        leaves = -(-leaves // fan_in)
-        last = leaves == 1
-
-        rest = state.where("sequence_id is null")
-        state = scratch.write(rest.groupBy(F.floor(F.col("leaf") / fan_in)).applyInArrow(_node(r, limit, slack, 0 if last else carry, fan_in), out))
-        whole = whole.unionByName(state.where("sequence_id is not null"))
-        if last:
+        up = F.coalesce(F.col("room") < fan_in * (rounds - r), F.lit(False))
+        done, rest = state.where(~up), state.where(up)
+        whole = done if whole is None else whole.unionByName(done)
+        if r == rounds:
             break
         r += 1
+        state = scratch.write(rest.groupBy(F.floor(F.col("leaf") / fan_in)).applyInArrow(_node(r, limit, fan_in), out))
     return whole.select("sequence_id", F.inline("members")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -58,14 +58,31 @@ def check(rows, out, limit):
     return len(bins), sum(k[3] * n for k, n in want.items())
 
 
-@pytest.mark.parametrize("parts,limit,carry", [(1, 2048, 4096), (20, 64, 4096), (9, 64, 1)])
-def test_whole_documents_come_back(spark, parts, limit, carry):
+@pytest.mark.parametrize("parts,limit", [(1, 2048), (20, 64), (9, 64)])
+def test_whole_documents_come_back(spark, parts, limit):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(["word"] * int(rng.integers(1, 90)))) for i in range(300)] + list(enumerate(TEXTS)) + [(None, "x"), (None, "x"), (5, "same"), (5, "same")]
-    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(parts)
-    n, total = check(rows, packing.pack(df, tokenizer_path(), limit=limit, carry=carry).collect(), limit)
-    if carry > 1:
-        assert n <= 1.03 * total / limit + 2
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(parts).selectExpr("*", "1 as piece", "2 as leaf", "3 as room")
+    n, total = check(rows, packing.pack(df, tokenizer_path(), limit=limit).collect(), limit)
+    assert n <= 1.03 * total / limit + 2
+
+
+@pytest.mark.parametrize("low,high", [(1, 60), (30, 60), (34, 50), (1, 20)])
+def test_no_bin_is_lost_by_leaving_fuller_ones_behind(spark, low, high):
+    """As many sequences as when every bin goes up the whole tree."""
+    rng, limit = np.random.default_rng(low), 64
+    rows = [(i, " ".join(["word"] * int(rng.integers(low, high)))) for i in range(400)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(17, "doc_id")
+    parts = {}
+    for r in df.selectExpr("doc_id", "spark_partition_id() as p").collect():
+        parts.setdefault(r.p, []).append(len(ids(rows[r.doc_id][1])) + 1)
+    level = [parts.get(p, []) for p in range(17)]
+    fold = lambda sizes: [sum(own) for own in ([sorted(sizes, reverse=True)[i] for i in b] for b in packing.best_fit(sorted(sizes, reverse=True), limit))]
+    level = [fold(x) for x in level]
+    while len(level) > 1:
+        level = [fold([s for x in level[k : k + 8] for s in x]) for k in range(0, len(level), 8)]
+    out = packing.pack(df, tokenizer_path(), limit=limit).collect()
+    assert len({r.sequence_id for r in out}) == len(level[0])
 
 
 def test_empty(spark):
