@@ -40,7 +40,10 @@ FEATURES = {
     "digest_near": "if(concat(b, ' ', a) rlike '(?i)(sha-?[0-9]*|md5|commit|checksum|digest|integrity|etag|revision|guid|uuid|base64|https?:|href|src=|card|order|isbn)', 1D, 0D)",
     "path": "if(p rlike '(?i)(test|example|fixture|mock|docs?/|node_modules|\\\\.lock|\\\\.min\\\\.|vendor)', 1D, 0D)",
 }
-MARKS = (("\u0001", "\u0002"), ("﷐", "﷑"))
+#: Pairs of characters that may mark candidates; texts hardly hold the first pair and never all.
+MARKS = (("\u0001", "\u0002"), *((chr(c), chr(c + 1)) for c in range(0xFDD0, 0xFDF0, 2)))
+#: So many candidates are summed at a time, so that work grows with their number, not with its square.
+STRIDE = 128
 
 
 def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str, str, int]]:
@@ -160,22 +163,29 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] |
 def _found(docs: DataFrame, forest: list[Tree], threshold: float, keep: list[str]) -> DataFrame:
     """The columns in ``keep``, ``lead`` (text before the first candidate) and ``found``: candidates in order.
 
-    The text is marked around each candidate and split at the marks; of two pairs of marks the one that the text
-    doesn't hold is taken (a text that holds all four loses its U+FDD0 and U+FDD1 to spaces).
+    The text is marked around each candidate and split at the marks, the first pair of ``MARKS`` of which the text holds
+    neither. (A text that holds one of all 17 pairs loses the last pair's to spaces.)
     """
     t = "coalesce(cast(text as string), '')"
-    first = f"(contains({t}, '{MARKS[0][0]}') or contains({t}, '{MARKS[0][1]}'))"
-    rows = docs.selectExpr(*keep, f"if({first}, translate({t}, '{''.join(MARKS[1])}', '  '), {t}) as _t", f"{first} as _other", "coalesce(cast(source as string), '') as _p")
+    free = lambda a, b: f"not contains(_t, {a}) and not contains(_t, {b})"
+    lit = lambda k: f"named_struct('a', '{MARKS[k][0]}', 'b', '{MARKS[k][1]}')"
+    others = f"get(filter(array({', '.join(map(lit, range(1, len(MARKS))))}), m -> {free('m.a', 'm.b')}), 0)"
+    quoted = [f"'{m}'" for m in MARKS[0]]
+    first = f"if({free(*quoted)}, {lit(0)}, {others})"
+    rows = docs.selectExpr(*keep, f"{t} as _t", "coalesce(cast(source as string), '') as _p").withColumn("_m", F.expr(first))
+    rows = rows.selectExpr(*keep, "_p", f"coalesce(_m, {lit(-1)}) as _m", f"if(_m is null, translate(_t, '{''.join(MARKS[-1])}', '  '), _t) as _t")
     q = CANDIDATE.replace("\\", "\\\\").replace("'", "\\'")
-    parts = " ".join(f"when _other = {str(k == 1).lower()} then if(_t rlike '{POSSIBLE}', split(regexp_replace(_t, '({q})', '{a}$1{b}'), '{a}'), array(_t))" for k, (a, b) in enumerate(MARKS))
-    rows = rows.selectExpr(*keep, "_p", f"if(_other, '{MARKS[1][1]}', '{MARKS[0][1]}') as _end", f"case {parts} end as _parts")
+    rows = rows.selectExpr(*keep, "_p", "_m.b as _end", f"if(_t rlike '{POSSIBLE}', split(regexp_replace(_t, '({q})', concat(_m.a, '$1', _m.b)), _m.a), array(_t)) as _parts")
     cut = "transform(slice(_parts, 2, greatest(0, size(_parts) - 1)), s -> named_struct('v', substring_index(s, _end, 1), 'rest', substring(s, length(substring_index(s, _end, 1)) + 2)))"
     rows = rows.selectExpr(*keep, "_p", "_parts[0] as lead", f"{cut} as _cut")
-    # where each candidate starts, and the text on both sides up to the neighbouring candidates
-    rows = rows.selectExpr(*keep, "_p", "lead", """aggregate(_cut,
-        named_struct('at', length(lead), 'tail', lead, 'out', cast(array() as array<struct<v:string,rest:string,start:int,b:string>>)),
-        (s, c) -> named_struct('at', s.at + length(c.v) + length(c.rest), 'tail', c.rest,
-          'out', array_append(s.out, named_struct('v', c.v, 'rest', c.rest, 'start', s.at, 'b', right(s.tail, 48))))).out as _cut""")
+    # the text before each candidate, and where it starts: sums by strides, then inside each stride
+    rows = rows.selectExpr(
+        *keep, "_p", "lead", "zip_with(_cut, slice(concat(array(lead), transform(_cut, c -> c.rest)), 1, size(_cut)), (c, t) -> named_struct('v', c.v, 'rest', c.rest, 'b', right(t, 48))) as _cut",
+        f"transform(sequence(0, (size(_cut) - 1) div {STRIDE}), k -> transform(slice(_cut, k * {STRIDE} + 1, {STRIDE}), c -> length(c.v) + length(c.rest))) as _long",
+    )
+    sums = lambda items, first, step: f"aggregate({items}, named_struct('at', {first}, 'out', cast(array() as array<int>)), (s, c) -> named_struct('at', s.at + {step}, 'out', array_append(s.out, s.at))).out"
+    rows = rows.selectExpr(*keep, "_p", "lead", "_cut", "_long", sums("_long", "length(lead)", "aggregate(c, 0, (n, x) -> n + x)") + " as _first")
+    rows = rows.selectExpr(*keep, "_p", "lead", f"zip_with(_cut, flatten(zip_with(_long, _first, (own, f) -> {sums('own', 'f', 'c')})), (c, n) -> named_struct('v', c.v, 'rest', c.rest, 'start', n, 'b', c.b)) as _cut")
     names = list(FEATURES)
     import re
 
@@ -193,16 +203,22 @@ def scan(docs: DataFrame, forest: list[Tree] | None = None, threshold: float = 0
     ``start`` counts characters from 0; the value itself isn't repeated, only its MD5. ``score`` is the forest's
     mean vote, ``secret`` whether it reaches ``threshold``. The path feature reads ``source``. One pass, no
     shuffle: candidates are found, described and judged inside the row. Null and empty texts give no rows,
-    repeated rows give theirs again, a null doc_id stays.
+    repeated rows give theirs again, a null doc_id stays; no rows give no rows; other columns are not read.
     """
     forest = train(docs.sparkSession) if forest is None else forest
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    rows = _found(plain, forest, threshold, ["doc_id"]).selectExpr("doc_id", "inline(found)")
+    rows = _found(plain, forest, threshold, ["doc_id"])
+    # inline_outer, for which the optimizer infers no filter: pushed below the projections it would find all candidates twice
+    rows = rows.selectExpr("doc_id", "inline_outer(found)").where("v is not null")
     return rows.selectExpr("doc_id", "cast(start as long) as start", "cast(length(v) as long) as length", "md5(cast(v as binary)) as value_md5", "score", "secret")
 
 
 def redact(docs: DataFrame, forest: list[Tree] | None = None, threshold: float = 0.5, put: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each secret replaced by ``put`` and n_chars, if there, the new length; rows and columns stay."""
+    """``docs`` with each secret replaced by ``put`` and n_chars, if there, the new length; rows and columns stay.
+
+    Texts without a secret, null and empty ones among them, are as they were; repeated rows are redacted alike, a null
+    doc_id or source changes nothing, clashing names of other columns don't matter; no rows give no rows.
+    """
     forest = train(docs.sparkSession) if forest is None else forest
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
