@@ -57,8 +57,9 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, gap: int = 3, drift:
     words = F.array_remove(F.split(low, BREAK), "")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words.alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w) - 1)"), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
-    # the pair of two empty words ends each list: it keeps documents that match nothing
-    rows = rows.select("row", "doc_id", F.size("w").alias("n_words"), F.posexplode(F.array_append(pairs, F.xxhash64(F.lit(""), F.lit("")))).alias("pos", "gram"))
+    # the pair of two empty words ends each list: it keeps documents that match nothing (posexplode_outer, as the
+    # optimizer would infer a filter on the list from posexplode and make the list twice)
+    rows = rows.select("row", "doc_id", F.size("w").alias("n_words"), F.posexplode_outer(F.array_append(pairs, F.xxhash64(F.lit(""), F.lit("")))).alias("pos", "gram"))
     # matches are few: written once, the text is never read again and a lost executor costs no second scan
     hits = rows.join(F.broadcast(known), "gram").select("row", "doc_id", "n_words", "t", "label", "base", "need", "i", (F.col("pos") - F.col("i")).alias("diagonal"))
     votes = Scratch(spark, "licenses").write(hits).groupBy("row", "doc_id", "n_words", "t", "label", "base", "need", "diagonal")
