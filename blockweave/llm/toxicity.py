@@ -63,7 +63,10 @@ def _distinct(rows: list[list[int]], common: np.ndarray, bands: int = 5, width:
 
 def _tally(rows: list) -> np.ndarray:
     """In how many rows each word is."""
-    return np.bincount(np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64), minlength=BUCKETS)
+    n = np.zeros(BUCKETS, np.int32)
+    for s in range(0, len(rows), 256):  # a row holds a word once, but several rows may
+        np.add.at(n, np.concatenate([np.asarray(r, np.int32) for r in rows[s : s + 256]]), 1)
+    return n
 
 
 def likelihood_ratio(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
@@ -83,14 +86,17 @@ def choose(positive: list, unlabelled: list, columns: int, chance: float, draws:
     their part. The cut is the lowest at which at most the share ``chance`` of the words above it is expected there by
     chance; so it follows the size of the sample, from ten positives up.
     """
-    key = lambda r: np.asarray(r, np.int64).tobytes()
+    key = lambda r: hash(np.asarray(r, np.int32).tobytes())
     known = {key(r) for r in unlabelled}
     pool = [*unlabelled, *(r for r in positive if key(r) not in known)]
     n_p, n, in_pool = len(positive), len(pool), _tally(pool)
-    real, rng, null = likelihood_ratio(_tally(positive), in_pool, n_p, n), np.random.default_rng(seed), []
+    words = np.flatnonzero(in_pool > 1)  # a word of one row stands out for nothing
+    in_pool, rng, null = in_pool[words], np.random.default_rng(seed), []
+    real = likelihood_ratio(_tally(positive)[words], in_pool, n_p, n)
     for _ in range(draws):
-        own = likelihood_ratio(_tally([pool[i] for i in rng.permutation(n)[:n_p]]), in_pool, n_p, n)
-        null.append(own[own > 1])
+        own = likelihood_ratio(_tally([pool[i] for i in rng.permutation(n)[:n_p]])[words], in_pool, n_p, n)
+        null.append(own[own > 1].astype(np.float32))
+    real = real.astype(np.float32)
     null, high = np.sort(np.concatenate(null)), np.sort(real[real > 1])
     cuts = np.unique(high)
     by_chance = (len(null) - np.searchsorted(null, cuts)) / draws
@@ -98,7 +104,7 @@ def choose(positive: list, unlabelled: list, columns: int, chance: float, draws:
     if not len(fine):
         return np.zeros(0, np.int64)
     best = np.argsort(-real, kind="stable")[:columns]
-    return best[real[best] >= fine[0]]
+    return words[best[real[best] >= fine[0]]]
 
 
 def train_nnpu(positive: list, unlabelled: list, prior: float, columns: int = 400, epochs: int = 200, rate: float = 0.1, decay: float = 3e-4, chance: float = 0.1) -> Model:
