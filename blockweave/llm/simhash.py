@@ -220,9 +220,9 @@ def _bounded(rows: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def _pairs(vertices: DataFrame, tables: list[tuple[int, int]], most_bits: int, least: float, every: bool, cell: int = 32768) -> DataFrame:
-    """``(a, b, ra, rb, far)``: pairs of ``vertices(v, f, g, root, size)`` that some table brings together, ra < rb their
-    components. Unless ``every`` is set, only the nearest pair of each two components that meet in a cell.
+def _pairs(vertices: DataFrame, tables: list[tuple[int, int]], most_bits: int, least: float, cell: int = 32768) -> DataFrame:
+    """``(a, b, ra, rb, far)``: the nearest pair of each two components, ra < rb, of ``vertices(v, f, g, root, size)``
+    that meet in a cell.
 
     A cell holds a share of a table's keys, about ``cell`` entries, and gets them as packed bytes.
     """
@@ -250,18 +250,53 @@ def _pairs(vertices: DataFrame, tables: list[tuple[int, int]], most_bits: int, l
             i, j = np.where(turn, j, i), np.where(turn, i, j)
             order = np.lexsort((e["v"][j], e["v"][i], far, e["root"][j], e["root"][i]))
             i, j, far = i[order], j[order], far[order]
-            if not every and len(i):
-                new = np.concatenate([[True], (np.diff(e["root"][i]) != 0) | (np.diff(e["root"][j]) != 0)])
-                i, j, far = i[new], j[new], far[new]
-            out = [i, j, far.astype(np.int64)]
+            new = np.concatenate([[True], (np.diff(e["root"][i]) != 0) | (np.diff(e["root"][j]) != 0)])
+            out = [i[new], j[new], far[new].astype(np.int64)]
         i, j, far = out
         return pa.table({"a": e["v"][i], "b": e["v"][j], "ra": e["root"][i], "rb": e["root"][j], "far": far})
 
-    cells = vertices.select(*ENTRY_COLUMNS).mapInArrow(deal, "cell long, e binary")
+    cells = vertices.select(*ENTRY.names).mapInArrow(deal, "cell long, e binary")
     return cells.groupBy("cell").applyInArrow(meet, "a long, b long, ra long, rb long, far long")
 
 
-ENTRY_COLUMNS = ("f", "g", "v", "root", "size")
+def _rest(members: DataFrame, sets: DataFrame, most_bits: int, least: float, chunk: int = 512) -> DataFrame:
+    """``(a, b)``: links that join all pairs of at least ``least`` of different components within each cluster of
+    ``members(v, f, g, root, size, cluster)``, compared by their ``sets(v, s)``.
+
+    A cluster is dealt out in chunks: its largest component's meet those of the others, these meet each other. So a
+    task holds two chunks, whatever the cluster; only spanning links leave it.
+    """
+    per = members.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    per = per.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("nd"), F.sum("n").alias("n"))
+    per = per.select("cluster", "main", F.ceil(F.col("nd") / chunk).cast("int").alias("cd"), F.ceil((F.col("n") - F.col("nd")) / chunk).cast("int").alias("co"))
+    rows = members.join(per, "cluster").withColumn("inner", F.col("root") == F.col("main"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("v", F.lit(3)), F.when(F.col("inner"), F.col("cd")).otherwise(F.col("co"))).cast("int"))
+    cells = """if(inner, transform(sequence(0, co - 1), j -> named_struct('kind', 0, 'x', own, 'y', j)),
+        concat(transform(sequence(0, cd - 1), i -> named_struct('kind', 0, 'x', i, 'y', own)), transform(sequence(0, co - 1), k -> named_struct('kind', 1, 'x', least(own, k), 'y', greatest(own, k)))))"""
+    rows = rows.join(sets, "v").select("v", "f", "g", "root", "size", "s", "inner", "own", "cluster", F.explode(F.expr(cells)).alias("at")).select("*", "at.*").drop("at")
+
+    def compare(t):  # pa.Table to pa.Table; the kind of function is told from its arguments
+        t = t.sort_by("v")
+        v, root, size, own, inner = (t.column(c).to_numpy() for c in ("v", "root", "size", "own", "inner"))
+        f, g = (t.column(c).to_numpy().view(np.uint64) for c in ("f", "g"))
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()]
+        if t.column("kind")[0].as_py() == 0:
+            one, two = np.flatnonzero(inner), np.flatnonzero(~inner)
+        else:
+            one, two = (np.flatnonzero(own == t.column(c)[0].as_py()) for c in ("x", "y"))
+        group = np.unique(root, return_inverse=True)[1]
+        ends = []
+        for i in two:
+            far = np.bitwise_count(f[one] ^ f[i]) + np.bitwise_count(g[one] ^ g[i])
+            alike = np.minimum(size[one], size[i]) >= least * np.maximum(size[one], size[i])
+            for j in one[(far <= most_bits) & alike]:
+                if group[i] != group[j] and similarity(sets[i], sets[j]) >= least:
+                    group[group == group[j]] = group[i]
+                    ends.append((v[i], v[j]))
+        ends = np.array(ends, np.int64).reshape(-1, 2)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+    return rows.groupBy("cluster", "kind", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def near_components(texts: DataFrame, scratch: Scratch, k: int, least: float, blocks: int, radius: int, most_bits: int) -> DataFrame:
@@ -283,11 +318,14 @@ def near_components(texts: DataFrame, scratch: Scratch, k: int, least: float, bl
             near = [similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= least for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
+    def sets_of(named: DataFrame) -> DataFrame:
+        """``(v, s)`` of the texts named by ``named(v)``."""
+        sets = texts.select("v", "text").join(_bounded(scratch.write(named)), "v", "left_semi").mapInArrow(describe, "v long, s binary")
+        return scratch.write(sets.groupBy("v").agg(F.first("s").alias("s")))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """``(a, b, near)`` by the exact similarity of the two shingle sets."""
-        named = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct())
-        sets = texts.select("v", "text").join(_bounded(named), "v", "left_semi").mapInArrow(describe, "v long, s binary")
-        sets = scratch.write(sets.groupBy("v").agg(F.first("s").alias("s")))
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct())
         ends = pairs.select("a", "b").join(sets.select(F.col("v").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "y")
         ends = ends.join(sets.select(F.col("v").alias("a"), F.col("s").alias("x")), "a").select("a", "b", "x", "y")
         return scratch.write(ends.mapInArrow(compare, "a long, b long, near boolean"))
@@ -311,7 +349,7 @@ def near_components(texts: DataFrame, scratch: Scratch, k: int, least: float, bl
     links = verified(stars).where("near").select("a", "b")
     state = joined(links)
     # then all tables, and of each two components that meet the nearest pair
-    met = _pairs(state, tables, most_bits, least, every=False).groupBy("ra", "rb").agg(F.min(F.struct("far", "a", "b")).alias("at"))
+    met = _pairs(state, tables, most_bits, least).groupBy("ra", "rb").agg(F.min(F.struct("far", "a", "b")).alias("at"))
     met = scratch.write(met.select("ra", "rb", "at.a", "at.b"))
     judged = scratch.write(verified(met).join(met, ["a", "b"]))
     links = links.unionByName(judged.where("near").select("a", "b"))
@@ -324,10 +362,9 @@ def near_components(texts: DataFrame, scratch: Scratch, k: int, least: float, bl
     failed = failed.join(size.select(F.col("root").alias("ra"), F.col("n").alias("na")), "ra").join(size.select(F.col("root").alias("rb"), F.col("n").alias("nb")), "rb")
     failed = scratch.write(failed.where("na * nb > 1").select("ra", "rb"))
     if not failed.isEmpty():
-        some = scratch.write(failed.select(F.explode(F.array("ra", "rb")).alias("root")).distinct())
-        rest = scratch.write(state.join(some, "root", "left_semi"))
-        more = _pairs(rest, tables, most_bits, least, every=True).join(failed, ["ra", "rb"]).select("a", "b").distinct()
-        more = verified(scratch.write(more.join(judged.select("a", "b"), ["a", "b"], "left_anti"))).where("near").select("a", "b")
+        clusters = connected_components(failed.select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch)
+        members = scratch.write(state.drop("low").join(clusters.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root"))
+        more = scratch.write(_rest(members, sets_of(members.select("v")), most_bits, least))
         if not more.isEmpty():
             state = joined(links.unionByName(more))
     return state.select("v", "low", "root")
