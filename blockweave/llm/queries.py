@@ -65,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_secret_scan, op2_url_filter, op3_toxicity, op4_source_mix, op5_simhash, op6_embedding_links, op7_license_scan, op8_topk, op9_quality, op10_packing,
 )}
 
-ORACLES: dict[str, str] = {"op2_url_filter": urls.sql(), "op4_source_mix": mixing.sql(), "op7_license_scan": licenses.sql(), "op8_topk": topk.sql()}
+ORACLES: dict[str, str] = {"op2_url_filter": urls.sql(), "op4_source_mix": mixing.sql(), "op6_embedding_links": embeddings.sql(), "op7_license_scan": licenses.sql(), "op8_topk": topk.sql()}

@@ -1,6 +1,9 @@
 import itertools
+import time
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from blockweave.llm import embeddings
@@ -54,7 +57,7 @@ def test_against_all_pairs(spark, shard):
 
 def test_search_finds_what_a_matrix_finds():
     x = np.array([embeddings.unit(v) for _, v in clouds(900, 5)])
-    i, j = embeddings.range_search(x, embeddings.build(x), 0.95)
+    i, j = map(np.concatenate, zip(*embeddings.range_search(x, embeddings.build(x), 0.95)))
     want = {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.95)) if a != b}
     got = set(zip(i.tolist(), j.tolist()))
     assert got <= want and len(got) >= 0.98 * len(want)
@@ -84,3 +87,38 @@ def test_all_pairs_when_no_overlap_is_enough(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "exact_links", lambda n, s, least: exact(n, s, least, 70))
     got = sorted(map(tuple, embeddings.near_duplicates(df, shard=20, overlaps=(1,)).collect()), key=repr)
     assert got == brute(rows)
+
+
+def test_crowds_against_all_pairs(spark):
+    """Tight crowds, two that touch, guests at every angle, many small groups, repeated vectors."""
+    rng = np.random.default_rng(7)
+    unit = lambda v: v / np.linalg.norm(v)
+    base = [unit(rng.normal(size=24)) for _ in range(3)]
+    base.append(unit(base[0] + 0.3 * unit(rng.normal(size=24))))
+    rows = [unit(b + 0.018 * rng.normal(size=24)) for b in base for _ in range(130)]
+    rows += [unit(b + t * unit(rng.normal(size=24))) for b in base for t in np.linspace(0.02, 0.6, 60)]
+    for _ in range(60):
+        b = rng.normal(size=24)
+        rows += [b + 0.03 * rng.normal(size=24) for _ in range(3)]
+    rows = [(i, (v * rng.uniform(0.5, 3)).tolist()) for i, v in enumerate(rows)]
+    rows += [(5000 + i, rows[i][1]) for i in (0, 1, 200, 700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows)
+    got = sorted(map(tuple, embeddings.near_duplicates(df, shard=150).collect()), key=repr)
+    assert sum(r[1] for r in want) >= sum(r[1] for r in got) >= 0.99 * sum(r[1] for r in want)
+    crowded = {i for i, *_ in rows if i < 520 or i >= 5000}
+    assert [r for r in got if r[0] in crowded] == [r for r in want if r[0] in crowded]
+    duckdb.sql("create or replace temp table embeddings (vec_id bigint, embedding double[])")
+    duckdb.executemany("insert into embeddings values (?, ?)", rows[:60] + rows[-40:] + [(9000, None), (9001, [0.0] * 24), (9002, [float("nan")] * 24)])
+    part = rows[:60] + rows[-40:] + [(9000, None), (9001, [0.0] * 24), (9002, [float("nan")] * 24)]
+    assert sorted(duckdb.sql(embeddings.sql()).fetchall(), key=repr) == brute(part)
+
+
+def test_a_crowd_of_many_is_counted_in_little_time(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=16) * 10
+    x = base + 0.2 * rng.normal(size=(20000, 16))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20000), "embedding": x.tolist()}))
+    began = time.perf_counter()
+    out = embeddings.near_duplicates(df).agg({"n_links": "min", "component_id": "max"}).first()
+    assert tuple(out) in ((0, 19999), (19999, 0)) and time.perf_counter() - began < 90
