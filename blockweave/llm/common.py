@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none (tests) is a local one made."""
+    """The folder that all executors share. Only where the session names none and runs on one machine (tests) is a local one
+    made; on a cluster without the setting this is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='blockweave-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

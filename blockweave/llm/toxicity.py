@@ -167,7 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int =
     u = by_hash(ids.where(fold(F.col("doc_id"), folds) != 0), most_unlabelled).withColumn("kind", F.lit(0))
     t = sample_features(docs, p.unionByName(u), word_ids, scratch, pa.int32())
     kind, x = t.column("kind").to_pylist(), arrays(t.column("x"))
-    return train_nnpu([r for k, r in zip(kind, x) if k == 1], [r for k, r in zip(kind, x) if k == 0], prior)
+    model = train_nnpu([r for k, r in zip(kind, x) if k == 1], [r for k, r in zip(kind, x) if k == 0], prior)
+    del t, x
+    pa.default_memory_pool().release_unused()  # the driver goes on with other stages
+    return model
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5, threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
