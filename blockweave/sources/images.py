@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_number, is_image
@@ -235,8 +235,15 @@ def manifest(files: DataFrame) -> DataFrame:
     return numbered(files.where(is_image(F.col("path"))), "numeric").select("frame_idx", "path")
 
 
+#: First bytes of the formats that only the JVM reads here: JPEG and GIF.
+JVM_ONLY = (b"\xff\xd8\xff", b"GIF")
+
+
 def read_frames(spark: SparkSession, folder: str, order: str = "path") -> DataFrame:
-    """Frames of a folder. A file that is no image, or that differs in size from the first, fails the job."""
+    """Frames of a folder. A file that is no image, or that differs in size from the first, fails the job.
+
+    JPEG and GIF files are told by their first bytes and go through the JVM's reader, all others through ``decode``.
+    """
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
         empty = files.select("path").isEmpty()
@@ -245,6 +252,9 @@ def read_frames(spark: SparkSession, folder: str, order: str = "path") -> DataFr
     if empty:
         raise ImageError(f"{folder} holds no files")
     index = numbered(files.select("path"), order)
+    foreign = F.substring("content", 1, 3).isin([bytearray(m) for m in JVM_ONLY])
+    if not files.where(foreign).isEmpty():
+        return _read_mixed(spark, files, folder, index, foreign)
     first = decode(files.join(F.broadcast(index.where("frame_idx = 0")), "path").select("content").first()[0]).shape
 
     def run(batches):
@@ -261,6 +271,26 @@ def read_frames(spark: SparkSession, folder: str, order: str = "path") -> DataFr
     return rows.select("frame_idx", "path", "content").mapInPandas(run, FRAMES)
 
 
+def _read_mixed(spark: SparkSession, files: DataFrame, folder: str, index: DataFrame, foreign: Column) -> DataFrame:
+    """Frames of a folder that holds JPEG or GIF files; sizes are compared once all are decoded."""
+
+    def run(batches):
+        for pdf in batches:
+            own = [decode(c) for c in pdf["content"]]
+            yield pd.DataFrame([(p, v.shape[1], v.shape[0], v.shape[2], v.tobytes()) for p, v in zip(pdf["path"], own)], columns=["path", "width", "height", "channels", "data"])
+
+    kind = "path string, width int, height int, channels int, data binary"
+    plain = files.where(~foreign).select("path", "content").mapInPandas(run, kind)
+    shape = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  the two sources write local paths differently
+    jvm = read_jvm(spark, folder).withColumn("path", shape("path")).join(files.where(foreign).select(shape("path").alias("path")), "path", "left_semi")
+    every = plain.withColumn("path", shape("path")).unionByName(jvm.select(plain.columns))
+    rows = index.select("frame_idx", F.col("path").alias("name"), shape("path").alias("path")).join(every, "path", "left")
+    first = rows.where("frame_idx = 0").select("width", "height", "channels").first()
+    same = (F.col("width") == first.width) & (F.col("height") == first.height) & (F.col("channels") == first.channels)
+    told = F.raise_error(F.concat(F.col("name"), F.lit(f" is no image of {first.width} x {first.height} x {first.channels}, the first frame's size"))).cast("binary")
+    return rows.select("frame_idx", F.col("name").alias("path"), "width", "height", "channels", F.when(same, F.col("data")).otherwise(told).alias("data"))
+
+
 def read_jvm(spark: SparkSession, folder: str, order: str = "path") -> DataFrame:
     """Frames through Spark's ``image`` source (JPEG, GIF and what else the JVM reads), bytes turned to RGB order."""
     rows = spark.read.format("image").option("dropInvalid", "true").load(folder).select(F.col("image.origin").alias("path"), F.col("image.*"))

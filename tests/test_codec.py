@@ -134,3 +134,28 @@ def test_command_line(spark, tmp_path, capsys):
     assert len(list((tmp_path / "out").iterdir())) == 2
     (tmp_path / "bad.bin").write_bytes(b"no")
     assert main(["decompress", str(tmp_path / "bad.bin"), str(tmp_path / "out")]) == 1
+
+
+def jpeg(spark, path, pixels):
+    """A JPEG file by the JVM's writer."""
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(pixels.shape[1], pixels.shape[0], 1)
+    for y, x in np.ndindex(pixels.shape[:2]):
+        image.setRGB(x, y, int(pixels[y, x, 0]) << 16 | int(pixels[y, x, 1]) << 8 | int(pixels[y, x, 2]))
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(path)))
+
+
+def test_jpeg_frames_are_compressed(spark, tmp_path):
+    folder = tmp_path / "f"
+    folder.mkdir()
+    for i in (1, 2):
+        jpeg(spark, folder / f"a{i}.jpg", np.full((16, 16, 3), 60 * i, np.uint8))
+    (folder / "a3.png").write_bytes(images.encode_png(np.full((16, 16, 3), 200, np.uint8)))
+    rows = images.read_frames(spark, str(folder)).orderBy("frame_idx").collect()
+    assert [(r.width, r.height, r.channels) for r in rows] == [(16, 16, 3)] * 3
+    assert all(abs(np.frombuffer(r.data, np.uint8).astype(int) - v).max() <= 3 for r, v in zip(rows, (60, 120, 200)))
+    head = codec.compress(spark, str(folder), str(tmp_path / "c.bin"), quality=90)
+    assert head.frame_count == 3 and codec.decompress(spark, str(tmp_path / "c.bin"), str(tmp_path / "out")) == 3
+    (folder / "b.png").write_bytes(images.encode_png(np.full((8, 8, 3), 1, np.uint8)))
+    with pytest.raises(Exception, match="first frame"):
+        images.read_frames(spark, str(folder)).collect()
