@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes A-Z to a-z; every other byte, and so every other character of UTF-8, stays.
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -60,10 +61,20 @@ class Scratch:
         out._blockweave_path = path
         return out
 
+    def write_small(self, df: DataFrame, rows: int, each: int = 100_000, last: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+        """``write`` of ``last(df)``, where ``df`` has about ``rows`` rows at most, in few tasks: one for each core or for each
+        ``each`` rows, whichever are more. Meant for narrow rows, of which a shuffle's partitions would hold few."""
+        return self.write(last(df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // each)))))
+
     def drop(self, df: DataFrame) -> None:
         _delete(self.spark, df._blockweave_path)
 
 
+def bounded(rows: DataFrame, count: int | None = None, most: int = 500_000) -> DataFrame:
+    """A hint to broadcast a written table of a few numbers a row if its row count allows; beyond it, Spark shuffles."""
+    return F.broadcast(rows) if (rows.count() if count is None else count) <= most else rows
+
+
 def over_arrow(f: Callable) -> Callable[[Iterator], Iterator]:
     """A function for ``mapInArrow`` that applies ``f`` to each record batch."""
 

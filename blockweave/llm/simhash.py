@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Scratch
+from .common import ASCII_LOWER, Scratch, bounded
 from .components import connected_components
 
 BITS = 64
@@ -215,11 +215,6 @@ def close_pairs(e: np.ndarray, key: np.ndarray, most_bits: int, least: float, ch
                 yield own[i[a]], own[b + lo], far[a, b]
 
 
-def _bounded(rows: DataFrame, most: int = 500_000) -> DataFrame:
-    """A hint to broadcast a written table of a few numbers a row if its row count allows; beyond it, Spark shuffles."""
-    return F.broadcast(rows) if rows.count() <= most else rows
-
-
 def _pairs(vertices: DataFrame, tables: list[tuple[int, int]], most_bits: int, least: float, cell: int = 32768) -> DataFrame:
     """``(a, b, ra, rb, far)``: the nearest pair of each two components, ra < rb, of ``vertices(v, f, g, root, size)``
     that meet in a cell.
@@ -320,7 +315,7 @@ def near_components(texts: DataFrame, scratch: Scratch, k: int, least: float, bl
 
     def sets_of(named: DataFrame) -> DataFrame:
         """``(v, s)`` of the texts named by ``named(v)``."""
-        sets = texts.select("v", "text").join(_bounded(scratch.write(named)), "v", "left_semi").mapInArrow(describe, "v long, s binary")
+        sets = texts.select("v", "text").join(bounded(scratch.write(named)), "v", "left_semi").mapInArrow(describe, "v long, s binary")
         return scratch.write(sets.groupBy("v").agg(F.first("s").alias("s")))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -328,35 +323,38 @@ def near_components(texts: DataFrame, scratch: Scratch, k: int, least: float, bl
         sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct())
         ends = pairs.select("a", "b").join(sets.select(F.col("v").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "y")
         ends = ends.join(sets.select(F.col("v").alias("a"), F.col("s").alias("x")), "a").select("a", "b", "x", "y")
-        return scratch.write(ends.mapInArrow(compare, "a long, b long, near boolean"))
+        return scratch.write_small(ends, pairs.count(), 20_000, lambda x: x.mapInArrow(compare, "a long, b long, near boolean"))
 
     def joined(links: DataFrame) -> DataFrame:
         roots = connected_components(links, scratch).withColumnRenamed("node", "v")
-        return scratch.write(vertex.drop("root").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")))
+        return scratch.write_small(vertex.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")), n)
 
     signed = scratch.write(texts.select("doc_id", "text", "v").mapInArrow(sign, "doc_id long, v long, f long, g long, size int"))
-    vertex = scratch.write(signed.groupBy("v").agg(F.min("doc_id").alias("low"), F.first("f").alias("f"), F.first("g").alias("g"), F.first("size").alias("size")))
+    vertex = signed.groupBy("v").agg(F.min("doc_id").alias("low"), F.first("f").alias("f"), F.first("g").alias("g"), F.first("size").alias("size"))
+    vertex = scratch.write_small(vertex, signed.count())
+    n = vertex.count()
     # stars first: of the texts with one value of a block the smallest leads, and each text goes to its nearest leader
     cuts = [round(128 * i / blocks) for i in range(blocks + 1)]
     masks = [sum(1 << p for p in range(a, b)) for a, b in zip(cuts, cuts[1:])]
     values = F.array(*[F.xxhash64(F.lit(i), F.col("f").bitwiseAND(F.lit(_signed(m & (1 << 64) - 1))), F.col("g").bitwiseAND(F.lit(_signed(m >> 64)))) for i, m in enumerate(masks)])
     spread = vertex.select("v", "f", "g", F.explode(values).alias("key"))
-    lead = scratch.write(spread.groupBy("key").agg(F.min(F.struct("v", "f", "g")).alias("l"), F.count("*").alias("n")).where("n > 1").select("key", "l.*"))
+    lead = spread.groupBy("key").agg(F.min(F.struct("v", "f", "g")).alias("l"), F.count("*").alias("n")).where("n > 1").select("key", "l.*")
+    lead = scratch.write_small(lead, blocks * n)
     lead = lead.select("key", F.col("v").alias("a"), F.col("f").alias("lf"), F.col("g").alias("lg"))
     far = F.bit_count(F.col("f").bitwiseXOR(F.col("lf"))) + F.bit_count(F.col("g").bitwiseXOR(F.col("lg")))
     stars = spread.join(lead, "key").where("v <> a").select("a", F.col("v").alias("b"), far.alias("far")).where(F.col("far") <= most_bits)
-    stars = scratch.write(stars.groupBy("b").agg(F.min(F.struct("far", "a")).alias("at")).select("at.a", "b"))
+    stars = scratch.write_small(stars.groupBy("b").agg(F.min(F.struct("far", "a")).alias("at")).select("at.a", "b"), n)
     links = verified(stars).where("near").select("a", "b")
     state = joined(links)
     # then all tables, and of each two components that meet the nearest pair
     met = _pairs(state, tables, most_bits, least).groupBy("ra", "rb").agg(F.min(F.struct("far", "a", "b")).alias("at"))
     met = scratch.write(met.select("ra", "rb", "at.a", "at.b"))
-    judged = scratch.write(verified(met).join(met, ["a", "b"]))
+    judged = verified(met)
     links = links.unionByName(judged.where("near").select("a", "b"))
     state = joined(links)
     # a pair that failed says nothing about the others of its two components: these are compared as well
-    size = state.groupBy("root").agg(F.count("*").alias("n"))
-    of = state.select("v", "root")
+    size = bounded(scratch.write_small(state.groupBy("root").agg(F.count("*").alias("n")), n))
+    of = bounded(state.select("v", "root"), n)
     failed = judged.where("not near").select("a", "b").join(of.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b")
     failed = failed.where("ra <> rb").select(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).distinct()
     failed = failed.join(size.select(F.col("root").alias("ra"), F.col("n").alias("na")), "ra").join(size.select(F.col("root").alias("rb"), F.col("n").alias("nb")), "rb")
@@ -391,7 +389,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, blocks
     found = near_components(rows.select("doc_id", "text", "v"), scratch, k, least, blocks, radius, most_bits)
     keep = found.where("low is not null").groupBy("root").agg(F.min(F.struct("low", "v")).alias("at"))
     keep = scratch.write(keep.select(F.col("at.low").alias("doc_id"), F.col("at.v").alias("v")))
-    kept = rows.join(_bounded(keep), ["doc_id", "v"], "left_semi")
+    kept = rows.join(bounded(keep), ["doc_id", "v"], "left_semi")
     first = Window.partitionBy("doc_id", "v").orderBy(F.xxhash64(*[n for n, kind in plain.dtypes if "map" not in kind and kind != "variant"]))
     kept = kept.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     return kept.select(*names).unionByName(rows.where("doc_id is null").select(*names)).toDF(*docs.columns)
