@@ -5,6 +5,7 @@ import numpy as np
 
 import corpus_pipeline
 from blockweave.llm import simhash
+from blockweave.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -134,3 +135,40 @@ def test_nearest_pairs_that_fail_leave_no_link_out(spark):
         rows.append((i, " ".join(w[: 400 - i % 7 * 6])))
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
     assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect()) == brute(rows)
+
+
+def test_meetings_are_no_rows_for_pairs(spark):
+    """Fingerprints that all meet, each a component of its own: far fewer rows than pairs (four times as many at twice
+    the number), at most one for each text and table; thinned, one for each text."""
+    rng, made = np.random.default_rng(6), {}
+    for n in (250, 500):
+        rows = []
+        for i in range(n):
+            f = [0, 0]
+            for b in rng.choice(128, 6, replace=False):
+                f[b // 64] |= 1 << int(b % 64)
+            rows.append((i, *map(simhash._signed, f), i, 100))
+        df = spark.createDataFrame(rows, "v long, f long, g long, root long, size int")
+        links = simhash._meetings(df, simhash.block_tables(), 32, 0.8).collect()
+        made[n] = len(links)
+        assert len({x for r in links for x in r}) == n
+        few = simhash._thinned(spark.createDataFrame(links), Scratch(spark, "t")).collect()
+        assert len(few) == n - 1 and {r.a for r in few} == {0}
+    assert made[500] <= 3 * made[250] and made[500] <= 0.1 * 500 * 499 / 2
+
+
+def test_clusters_larger_than_a_chunk(spark):
+    """Chains, and groups of which hardly any two are similar enough, dealt out in small chunks."""
+    rows = planted()
+    r = random.Random(11)
+    base = [f"x{i}" for i in range(300)]
+    for i in range(400, 480):
+        w = list(base)
+        for j in r.sample(range(0, 300, 10), 4 + i % 5):
+            w[j] = f"{j}-{r.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    want = brute(rows)
+    assert sum(i >= 400 for i in want) > 10
+    for chunk in (7, 512):
+        assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df, chunk=chunk).collect()) == want
