@@ -253,7 +253,7 @@ def _cells(vertices: DataFrame, tables: list[tuple[int, int]], kind: np.dtype, c
     return vertices.select(*kind.names).mapInArrow(deal, "cell long, e binary")
 
 
-def _first_met(e: np.ndarray, n: int, tables: list[tuple[int, int]], most_bits: int, least: float, most: int = 1 << 20):
+def _first_met(e: np.ndarray, n: int, tables: list[tuple[int, int]], most_bits: int, least: float, most: int = 1 << 18):
     """(i, j) of the close pairs of a cell of table ``n``, some ``most`` at a time, but for those that an earlier table brings together."""
 
     def new(found: list) -> tuple[np.ndarray, np.ndarray]:
